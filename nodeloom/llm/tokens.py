@@ -6,11 +6,12 @@ are where the library cuts too. Texts in which that can't be told are encoded wh
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 
-#: Chunks that a worker keeps, and those that it encodes in one call.
+#: Chunks of one generation that a worker keeps, of two, and those that it encodes in one call.
 CACHE, CALL = 400_000, 2048
 
 
@@ -18,6 +19,7 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -25,14 +27,17 @@ class Encoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids(self, chunks: list[list[str] | None], texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if len(self.known) > CACHE:  # what comes again moves to the new generation, the rest goes with the old one
+            self.known, self.older = {}, self.known
         new = [w for w in {w for c in chunks if c is not None for w in c} if w not in self.known]
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        new = [w for w in new if w not in self.older]
         for at in range(0, len(new), CALL):
             some = new[at : at + CALL]
             self.known.update(zip(some, self.whole(some)))
