@@ -6,10 +6,10 @@ Jaccard distance is a metric, so a link of distance at most ``d`` obeys the tria
    shared shingles are too few for any link;
 2. makes regions: documents which share one of their rarest shared shingles (a prefix that every linked pair meets in) get
    that shingle's pivot, and their exact distances to it are computed;
-3. recurs: within a region new pivots are chosen among documents not yet joined; each document goes to the Voronoi cell of its
+3. recurs: within a region new pivots are chosen among documents not linked to its pivot; each document goes to the Voronoi cell of its
    nearest pivot and, where ``d(x, q) <= d(x, own) + 2 d``, as a boundary replica to other cells. In a cell only documents in
-   the window ``|r(x) - r(y)| <= d`` stay. A cell closes when its documents are of one component. A pivot has met its whole
-   region and leaves it, so the recursion ends, and no linked pair is lost.
+   the window ``|r(x) - r(y)| <= d`` stay. A cell closes when its documents all link to its pivot, and one that fits a task
+   is finished there. A pivot has met its whole region and leaves it, so the recursion ends, and no linked pair is lost.
 
 Exactness is up to collisions of 64-bit shingle hashes and 128-bit set fingerprints.
 """
@@ -30,8 +30,8 @@ from nodeloom.llm.scratch import partitions, save
 
 #: Shingles that a bucket of the count holds on average, and that a map task holds before it sends them.
 BUCKET = FLUSH = 1 << 21
-#: Pivots of a region in each round of the recursion.
-PIVOTS = 16
+#: Pivots of a region in each round of the recursion; documents and shingles of a region that one task finishes.
+PIVOTS, SMALL, SMALL_WEIGHT = 8, 1000, 1 << 20
 
 
 def _sets(batches, k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -54,88 +54,107 @@ def _describe(k: int):
     return run
 
 
+def _by_part(part: np.ndarray, owner: np.ndarray, sets: np.ndarray, keys: np.ndarray, many: np.ndarray | None) -> tuple[list, ...]:
+    """Columns (part, sets, counts, keys, many) of one packed row for each part."""
+    order = np.lexsort((owner, part))
+    part, owner, keys = part[order], owner[order], keys[order]
+    many = many[order] if many is not None else None
+    cuts, out = np.flatnonzero(np.diff(part, prepend=-1)), ([], [], [], [], [])
+    for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+        who, n = np.unique(owner[a:b], return_counts=True)
+        row = (int(part[a]), sets[who].tobytes(), n.astype(np.uint32).tobytes(), keys[a:b].tobytes(), many[a:b].tobytes() if many is not None else None)
+        for column, value in zip(out, row):
+            column.append(value)
+    return out
+
+
+_PACKED = "part int, sets binary, counts binary, keys binary, many binary"
+_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_NAMES = ["part", "sets", "counts", "keys", "many"]
+
+
+def _scaled(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _deal(k: int, buckets: int):
     """Packed shingles by bucket; a set that the task has met before goes out once."""
 
-    def flush(prints, sets):
+    def flush(known, sets):
         lengths = np.array([len(s) for s in sets])
         keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
-        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        keys, owner, bucket = keys[order], owner[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        prints, out = np.array(prints, np.int64), ([], [], [], [])
-        for a, b in zip(cuts, [*cuts[1:], len(keys)]):
-            who, n = np.unique(owner[a:b], return_counts=True)
-            for column, value in zip(out, (int(bucket[a]), prints[who].tobytes(), n.astype(np.uint32).tobytes(), keys[a:b].tobytes())):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "prints", "counts", "keys"])
+        columns = _by_part(_scaled(keys, buckets), owner, np.array(known, np.int64), keys, None)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], _NAMES)
 
     def run(batches):
-        seen, prints, sets, held = set(), [], [], 0
+        seen, known, sets, held = set(), [], [], 0
         for _, some in _sets(batches, k):
             for s in some:
                 p = H.fingerprint(s)
                 if len(s) and p not in seen:
                     seen.add(p)
-                    prints.append(p)
+                    known.append((*p, len(s)))
                     sets.append(s)
                     held += len(s)
             if held >= FLUSH:
-                yield flush(prints, sets)
-                prints, sets, held = [], [], 0
+                yield flush(known, sets)
+                known, sets, held = [], [], 0
         if sets:
-            yield flush(prints, sets)
+            yield flush(known, sets)
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: each set's shingles that another set has too, with the number of sets."""
-    prints = np.frombuffer(b"".join(table["prints"].to_pylist()), np.int64).reshape(-1, 2)
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sets (f1, f2, n), and the set of each key, and the keys."""
+    sets = np.frombuffer(b"".join(table["sets"].to_pylist()), np.int64).reshape(-1, 3)
     counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32)
-    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
-    sets, which = np.unique(prints, axis=0, return_inverse=True)
-    owner = np.repeat(which.ravel(), counts)
-    order = np.lexsort((owner, keys))
-    keys, owner = keys[order], owner[order]
-    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
-    first = new_key | np.concatenate([[True], owner[1:] != owner[:-1]])
-    run = np.cumsum(new_key) - 1
-    many = np.bincount(run[first])
-    take = first & (many[run] > 1)
-    keys, owner, many = keys[take], owner[take], many[run[take]].astype(np.uint32)
-    order = np.argsort(owner, kind="stable")
-    keys, owner, many = keys[order], owner[order], many[order]
-    cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-    ends = [*cuts[1:], len(keys)]
-    return pa.table(
-        {
-            "f1": pa.array(sets[owner[cuts], 0] if len(cuts) else [], pa.int64()),
-            "f2": pa.array(sets[owner[cuts], 1] if len(cuts) else [], pa.int64()),
-            "m": pa.array([b - a for a, b in zip(cuts, ends)], pa.int64()),
-            "keys": pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-            "many": pa.array([many[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-        }
-    )
+    sets, which = np.unique(sets, axis=0, return_inverse=True)
+    return sets, np.repeat(which.ravel(), counts), np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
+
+
+def _shared(parts: int):
+    """Of one bucket: the shingles that two or more sets have, dealt anew by set, with the number of sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets, owner, keys = _unpacked(table)
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first = new_key | np.concatenate([[True], owner[1:] != owner[:-1]])
+        key = np.cumsum(new_key) - 1
+        many = np.bincount(key[first])
+        take = first & (many[key] > 1)
+        keys, owner, many = keys[take], owner[take], many[key[take]].astype(np.uint32)
+        columns = _by_part(_scaled(H.mix(sets[owner, 0].astype(np.uint64)), parts), owner, sets, keys, many)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_NAMES)
 
+    return run
 
-def _cores(percent: int):
-    """A set's shared shingles in order, the fingerprint of these, and the rarest of them, where a linked set must meet it."""
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for node, n, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                keys = np.frombuffer(b"".join(p["keys"] for p in parts), np.uint64)
-                many = np.frombuffer(b"".join(p["many"] for p in parts), np.uint32)
-                order = np.lexsort((keys, many))
-                length = len(keys) - -(-percent * n // 100) + 1
-                core = np.sort(keys)
-                rows.append((node, n, len(core), *H.fingerprint(core), core.tobytes(), keys[order[:length]].astype(np.int64).tolist()))
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["node", "n", "size", "c1", "c2", "core", "prefix"])
+_CORES = "f1 long, f2 long, n long, size long, c1 long, c2 long, core binary, prefix array<long>"
+
+
+def _cores(percent: int):
+    """Of one part of the sets: those whose shared shingles are enough for a link, with these in order, their fingerprint, and
+    the rarest of them, where a linked set must meet it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets, owner, keys = _unpacked(table)
+        many = np.frombuffer(b"".join(table["many"].to_pylist()), np.uint32)
+        able = 100 * np.bincount(owner, minlength=len(sets)) >= percent * sets[:, 2]
+        take = able[owner]
+        keys, owner, many = keys[take], owner[take], many[take]
+        order = np.lexsort((keys, many, owner))
+        keys, owner = keys[order], owner[order]
+        cuts, rows = np.flatnonzero(np.diff(owner, prepend=-1)), []
+        for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+            f1, f2, n = sets[owner[a]].tolist()
+            core = np.sort(keys[a:b])
+            rows.append((f1, f2, n, len(core), *H.fingerprint(core), core.tobytes(), keys[a : a + (b - a) - -(-percent * n // 100) + 1].astype(np.int64).tolist()))
+        columns = list(zip(*rows)) if rows else [[]] * 8
+        kinds = [pa.int64()] * 6 + [pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in _CORES.split(", ")])
 
     return run
 
@@ -162,6 +181,9 @@ class _Metric:
         new = save(both.mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, same long"), "overlaps")
         self.known = new if self.known is None else self.known.unionByName(new)
 
+    def add(self, overlaps: DataFrame) -> None:
+        self.known = self.known.unionByName(save(overlaps, "overlaps"))
+
     def linked(self) -> DataFrame:
         return self.known.where(f"100 * same >= {self.percent} * (n_a + n_b - same)").select("a", "b")
 
@@ -173,41 +195,78 @@ class _Metric:
         return rows.join(known, ["lo", "hi"], "left").withColumn("r", F.when(F.col("node") == F.col(to), 0.0).otherwise(F.col("r"))).drop("lo", "hi")
 
 
-def _open(cells: DataFrame, parts: DataFrame, limit: float) -> DataFrame:
-    """Of (region, node, wide, r): what is still to be joined; of regions of the same documents, one."""
-    cells = cells.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    sizes = cells.groupBy("region", "part").agg(F.count("*").alias("in_part"), F.max("wide").alias("any_wide"))
-    main = sizes.groupBy("region").agg(F.max(F.struct("in_part", "part")).getField("part").alias("main"), F.count("*").alias("parts"), F.max("any_wide").alias("any_wide"))
-    cells = cells.join(main.where("parts > 1 or any_wide"), "region").withColumn("free", F.expr("part <> main or wide"))
+def _open(cells: DataFrame, limit: float) -> DataFrame:
+    """Of (region, node, n, wide, r): what is still to be joined; of regions of the same documents, one."""
+    cells = cells.withColumn("free", F.expr(f"wide or r > {limit}"))
     reach = cells.where("free").groupBy("region").agg((F.min("r") - limit).alias("low"), (F.max("r") + limit).alias("high"))
-    cells = cells.join(reach, "region").where("free or (r >= low and r <= high)").select("region", "node", "wide", "r", "free")
-    mark = cells.groupBy("region").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
-    one = mark.where("size > 1").groupBy("size", "mark").agg(F.min("region").alias("region"))
-    return cells.join(one.select("region"), "region")
+    cells = cells.join(reach, "region").where("free or (r >= low and r <= high)").drop("low", "high")
+    mark = cells.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
+    one = mark.where("size > 1").groupBy("size", "weight", "mark").agg(F.min("region").alias("region"))
+    return cells.join(one.select("region", (F.expr(f"size <= {SMALL} and weight <= {SMALL_WEIGHT}")).alias("small")), "region")
+
+
+def _finish(percent: int):
+    """The same recursion within one region that fits a task: pairs that link, and every pair of a wide node."""
+    limit = 1 - percent / 100 + 1e-9
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, n, wide = (table[c].to_numpy() for c in ("node", "n", "wide"))
+        cores = [np.frombuffer(c, np.uint64) for c in table["core"].to_pylist()]
+        keys, owner = np.concatenate(cores), np.repeat(np.arange(len(cores)), [len(c) for c in cores])
+        part, out = np.arange(len(node)), []
+        rest = np.ones(len(node), bool)
+        r = table["r"].to_numpy()
+        part[(r <= limit) & ~wide] = np.flatnonzero((r <= limit) & ~wide)[:1].sum()  # all linked to the pivot before
+        while rest.sum() > 1:
+            among = np.flatnonzero(rest)
+            size = np.bincount(part[among], minlength=len(node))
+            outside = among[(part[among] != size.argmax()) | wide[among]]
+            if not len(outside):
+                break
+            pivot = outside[0]
+            take = rest[owner]
+            at = np.searchsorted(cores[pivot], keys[take])
+            hit = cores[pivot][np.minimum(at, len(cores[pivot]) - 1)] == keys[take]
+            same = np.bincount(owner[take][hit], minlength=len(node))
+            rest[pivot] = False
+            linked = rest & (100 * same >= percent * (n + n[pivot] - same))
+            for x in np.flatnonzero(linked | (rest & (wide | wide[pivot]) & (same > 0))):
+                out.append((node[pivot], node[x], n[pivot], n[x], same[x]))
+            for other in np.unique(part[linked]):
+                part[part == other] = part[pivot]
+        columns = list(zip(*out)) if out else [[]] * 5
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_a", "n_b", "same"])
+
+    return run
 
 
 def _join(nodes: DataFrame, percent: int) -> _Metric:
     """Overlaps of a set of pairs whose links join whatever all links join; with ``wide`` nodes, all their links."""
     limit = 1 - percent / 100 + 1e-9
     metric = _Metric(nodes.select("node", "n", "core"), percent)
-    places = nodes.select("node", "wide", F.explode("prefix").alias("key"))
+    places = nodes.select("node", "n", "wide", F.explode("prefix").alias("key"))
     pivots = places.groupBy("key").agg(F.min("node").alias("region"), F.count("*").alias("size")).where("size > 1").drop("size")
-    cells = save(places.join(pivots, "key").select("region", "node", "wide").distinct(), "regions")
+    cells = save(places.join(pivots, "key").select("region", "node", "n", "wide").distinct(), "regions")
     metric.ask(cells.select(F.col("region").alias("a"), F.col("node").alias("b")))
     cells = metric.distances(cells, "region").where("node <> region").withColumn("region", F.col("region").cast("string"))
     while True:
-        parts = components(metric.linked()).select("node", F.col("component").alias("part"))
-        cells = save(_open(cells, parts, limit), "regions")
-        if cells.isEmpty():
+        cells = save(_open(cells, limit), "regions")
+        sizes = cells.agg(F.count_if("small"), F.count_if(~F.col("small"))).first()
+        if sizes[0]:
+            small = cells.where("small").join(nodes.select("node", "core"), "node").select("region", "node", "n", "wide", "r", "core")
+            metric.add(small.groupBy("region").applyInArrow(_finish(percent), "a long, b long, n_a long, n_b long, same long"))
+        if not sizes[1]:
             return metric
+        cells = cells.where("not small").drop("small")
         rank = F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("node"), "node"))
         chosen = cells.where("free").withColumn("rank", rank).where(f"rank <= {PIVOTS}").select("region", F.col("node").alias("pivot"))
-        to = save(cells.select("region", "node", "wide").join(chosen, "region"), "regions")
+        to = save(cells.select("region", "node", "n", "wide").join(chosen, "region"), "regions")
         metric.ask(to.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         to = metric.distances(to, "pivot")
-        own = W.partitionBy("region", "node")
-        to = to.withColumns({"own": F.min("r").over(own)}).join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-        cells = to.where(f"r <= own + {2 * limit}").select(F.concat_ws("/", "region", "pivot").alias("region"), "node", "wide", "r")
+        own = to.groupBy("region", "node").agg(F.min("r").alias("own"))
+        to = to.join(own, ["region", "node"]).join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
+        cells = to.where(f"r <= own + {2 * limit}").select(F.concat_ws("/", "region", "pivot").alias("region"), "node", "n", "wide", "r")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -226,11 +285,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = save(rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "classes").where("node is not null")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), -(-total // BUCKET))
-    dealt = texts.select("doc_id", "text").mapInArrow(_deal(words, buckets), "bucket int, prints binary, counts binary, keys binary")
-    shared = save(dealt.groupBy("bucket").applyInArrow(_shared, "f1 long, f2 long, m long, keys binary, many binary"), "shared")
-    able = shared.groupBy("f1", "f2").agg(F.sum("m").alias("m")).join(classes, ["f1", "f2"]).where(f"100 * m >= {percent} * n").select("f1", "f2", "node", "n")
-    gathered = shared.join(able, ["f1", "f2"]).groupBy("f1", "f2", "node", "n").agg(F.collect_list(F.struct("keys", "many")).alias("parts"))
-    cores = save(gathered.select("node", "n", "parts").mapInArrow(_cores(percent), "node long, n long, size long, c1 long, c2 long, core binary, prefix array<long>"), "cores")
+    dealt = texts.select("doc_id", "text").mapInArrow(_deal(words, buckets), _PACKED)
+    shared = dealt.groupBy("part").applyInArrow(_shared(buckets), _PACKED)
+    cores = shared.groupBy("part").applyInArrow(_cores(percent), _CORES).join(classes.select("f1", "f2", "node"), ["f1", "f2"])
+    cores = save(cores.drop("f1", "f2"), "cores")
 
     # Sets with the same shared shingles: one stands for all. It links to whatever a longer one links to.
     heads = cores.groupBy("c1", "c2").agg(F.min(F.struct("n", "node")).alias("head"))
