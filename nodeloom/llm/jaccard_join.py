@@ -30,8 +30,8 @@ from nodeloom.llm.scratch import partitions, save
 
 #: Shingles that a bucket of the count holds on average, and that a map task holds before it sends them.
 BUCKET = FLUSH = 1 << 21
-#: Pivots of a region in each round of the recursion; documents and shingles of a region that one task finishes.
-PIVOTS, SMALL, SMALL_WEIGHT = 8, 1000, 1 << 20
+#: Pivots of a region in each round of the recursion; shingles of a region that one task finishes, and these by documents.
+PIVOTS, SMALL, SMALL_WORK = 8, 1 << 20, 1 << 30
 
 
 def _sets(batches, k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -196,28 +196,30 @@ class _Metric:
 
 
 def _open(cells: DataFrame, limit: float) -> DataFrame:
-    """Of (region, node, n, wide, r): what is still to be joined; of regions of the same documents, one."""
-    cells = cells.withColumn("free", F.expr(f"wide or r > {limit}"))
+    """Of (region, node, part, n, wide, r): what is still to be joined; of regions of the same documents, one.
+
+    part is the component known so far. A region closes when it has one part and no wide node.
+    """
+    sizes = cells.groupBy("region", "part").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("region").agg(F.max(F.struct("size", "part")).getField("part").alias("main"))
+    cells = cells.join(main, "region").withColumn("free", F.expr("wide or part <> main")).drop("main")
     reach = cells.where("free").groupBy("region").agg((F.min("r") - limit).alias("low"), (F.max("r") + limit).alias("high"))
     cells = cells.join(reach, "region").where("free or (r >= low and r <= high)").drop("low", "high")
     mark = cells.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
     one = mark.where("size > 1").groupBy("size", "weight", "mark").agg(F.min("region").alias("region"))
-    return cells.join(one.select("region", (F.expr(f"size <= {SMALL} and weight <= {SMALL_WEIGHT}")).alias("small")), "region")
+    return cells.join(one.select("region", F.expr(f"weight <= {SMALL} and size * weight <= {SMALL_WORK}").alias("small")), "region")
 
 
 def _finish(percent: int):
     """The same recursion within one region that fits a task: pairs that link, and every pair of a wide node."""
-    limit = 1 - percent / 100 + 1e-9
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         node, n, wide = (table[c].to_numpy() for c in ("node", "n", "wide"))
         cores = [np.frombuffer(c, np.uint64) for c in table["core"].to_pylist()]
         keys, owner = np.concatenate(cores), np.repeat(np.arange(len(cores)), [len(c) for c in cores])
-        part, out = np.arange(len(node)), []
+        part, out = np.unique(table["part"].to_numpy(), return_inverse=True)[1], []
         rest = np.ones(len(node), bool)
-        r = table["r"].to_numpy()
-        part[(r <= limit) & ~wide] = np.flatnonzero((r <= limit) & ~wide)[:1].sum()  # all linked to the pivot before
         while rest.sum() > 1:
             among = np.flatnonzero(rest)
             size = np.bincount(part[among], minlength=len(node))
@@ -249,12 +251,13 @@ def _join(nodes: DataFrame, percent: int) -> _Metric:
     pivots = places.groupBy("key").agg(F.min("node").alias("region"), F.count("*").alias("size")).where("size > 1").drop("size")
     cells = save(places.join(pivots, "key").select("region", "node", "n", "wide").distinct(), "regions")
     metric.ask(cells.select(F.col("region").alias("a"), F.col("node").alias("b")))
-    cells = metric.distances(cells, "region").where("node <> region").withColumn("region", F.col("region").cast("string"))
+    cells = metric.distances(cells, "region").where("node <> region")
+    cells = cells.withColumns({"part": F.when(F.col("r") <= limit, F.col("region")).otherwise(F.col("node")), "region": F.col("region").cast("string")})
     while True:
         cells = save(_open(cells, limit), "regions")
         sizes = cells.agg(F.count_if("small"), F.count_if(~F.col("small"))).first()
         if sizes[0]:
-            small = cells.where("small").join(nodes.select("node", "core"), "node").select("region", "node", "n", "wide", "r", "core")
+            small = cells.where("small").join(nodes.select("node", "core"), "node").select("region", "node", "part", "n", "wide", "core")
             metric.add(small.groupBy("region").applyInArrow(_finish(percent), "a long, b long, n_a long, n_b long, same long"))
         if not sizes[1]:
             return metric
@@ -267,6 +270,8 @@ def _join(nodes: DataFrame, percent: int) -> _Metric:
         own = to.groupBy("region", "node").agg(F.min("r").alias("own"))
         to = to.join(own, ["region", "node"]).join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
         cells = to.where(f"r <= own + {2 * limit}").select(F.concat_ws("/", "region", "pivot").alias("region"), "node", "n", "wide", "r")
+        parts = components(metric.linked()).select("node", F.col("component").alias("part"))
+        cells = cells.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
