@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from nodeloom.llm.bpe import digests
 from nodeloom.llm.jaccard_join import jaccard_components
 from nodeloom.llm.packing import pack
 from nodeloom.llm.quality_classifier import score_quality
@@ -33,6 +34,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -49,6 +54,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op6_bpe": op6_bpe,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
