@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from nodeloom.llm import ann, chat_format
 from nodeloom.llm.bpe import digests
 from nodeloom.llm.jaccard_join import jaccard_components
 from nodeloom.llm.packing import pack
@@ -34,6 +35,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(_table(spark, sf_dir, "conversations"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,6 +48,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = judge(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
@@ -54,8 +63,10 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_bpe": op6_bpe,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality_rules": op9_quality_rules,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_chat_formatting": chat_format.SQL}
