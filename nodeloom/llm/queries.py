@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nodeloom.llm import ann, chat_format
 from nodeloom.llm.bpe import digests
+from nodeloom.llm.html_extract import main_text
 from nodeloom.llm.jaccard_join import jaccard_components
 from nodeloom.llm.packing import pack
 from nodeloom.llm.quality_classifier import score_quality
@@ -58,6 +59,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "entropy")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -68,5 +73,6 @@ QUERIES = {
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 SQL: dict[str, str] = {"op5_chat_formatting": chat_format.SQL}
