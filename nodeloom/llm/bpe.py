@@ -14,6 +14,7 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -100,7 +101,7 @@ class WordBpe:
         texts, at = self.bytes, self.offset
         return b" ".join([texts[at[i] : at[i + 1]] for i in ids])
 
-    def _goes_with(self, a: int, b: int) -> bool:
+    def goes_with(self, a: int, b: int) -> bool:
         """Whether a border between entries a and b survives all merges."""
         key = a << 20 | b
         known = self.compatible.get(key)
@@ -134,7 +135,7 @@ class WordBpe:
         greedy = [token for _, token in longest(text)]
         for i in range(1, len(greedy)):
             ok = known.get(greedy[i - 1] << 20 | greedy[i])
-            if not (self._goes_with(greedy[i - 1], greedy[i]) if ok is None else ok):
+            if not (self.goes_with(greedy[i - 1], greedy[i]) if ok is None else ok):
                 break
         else:
             return greedy
@@ -142,7 +143,7 @@ class WordBpe:
         at = sum([self.length[t] for t in out])
         while at < n:
             end = at + self.length[token]
-            if end not in dead and (not out or self._goes_with(out[-1], token)):
+            if end not in dead and (not out or self.goes_with(out[-1], token)):
                 out.append(token)
                 at = end
                 if at < n:
@@ -155,15 +156,16 @@ class WordBpe:
             token = self.prefix[token]
         return out
 
-    def _plain(self, text: str) -> list[int]:
+    def plain(self, text: str, word: Callable[[bytes], list[int]]) -> list[int]:
+        """The ids of a text without special entries; ``word`` gives those of a word's bytes."""
         if not text.isascii():  # the library lowers each letter by itself: a sigma at the end of a word is none of its own
             text = self.white.sub(" ", unicodedata.normalize("NFC", text)).replace("\u03a3", "\u03c3")
         text = text.lower()
         if text.isalpha() and text.isascii():
-            return self.word(text.encode())
+            return word(text.encode())
         out: list[int] = []
         for piece in self.pattern.findall(text):
-            out += self.word(piece.encode())
+            out += word(piece.encode())
         return out
 
     def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
@@ -172,9 +174,9 @@ class WordBpe:
     def whole(self, text: str) -> list[int]:
         out, at = [], 0
         for m in self.special_pattern.finditer(text):
-            out += self._plain(text[at : m.start()]) + [self.special[m.group()]]
+            out += self.plain(text[at : m.start()], self.word) + [self.special[m.group()]]
             at = m.end()
-        return out + self._plain(text[at:])
+        return out + self.plain(text[at:], self.word)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, sha256 of the decimal ids with spaces between, sha256 of the decoded text)"""
@@ -185,7 +187,7 @@ class WordBpe:
         known = self.known
         for w in set(chunks):
             if w not in known:
-                known[w] = self.older.get(w) or self._entry(self._plain(w))
+                known[w] = self.older.get(w) or self._entry(self.plain(w, self.word))
         got = [e for e in map(known.__getitem__, chunks) if e[0]]
         if len(known) > CACHE:
             self.known, self.older = {}, known

@@ -1,18 +1,44 @@
-"""Ids of whole texts by the tokenizers library, with the ids of repeated words kept.
+"""Ids of whole texts as the tokenizers library gives them, with the ids of words kept.
 
-Both vocabularies split a text before they merge, so the ids of a text are those of its chunks in order, as long as the cuts
-are where the library cuts too. Texts in which that can't be told are encoded whole.
+Both vocabularies split a text before they merge, so the ids of a text are those of its words in order, as long as the cuts are
+where the library cuts too; a word that is new is merged by rank. Texts in which the cuts can't be told, and words whose
+merges are not beyond doubt, go to the library itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
+from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks of one generation that a worker keeps, of two, and those that it encodes in one call.
-CACHE, CALL = 400_000, 2048
+from nodeloom.llm.bpe import WordBpe, byte_letters
+
+#: Words of one generation that a worker keeps, of two.
+CACHE = 400_000
+#: Python takes these for white space and Unicode does not.
+_UNUSUAL = "\x1c\x1d\x1e\x1f"
+
+
+class _Words(dict):
+    """Ids of words; what comes again moves to the new generation, the rest goes with the old one."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+        self[word] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -26,64 +52,86 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids(self, chunks: list[list[str] | None], texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:  # what comes again moves to the new generation, the rest goes with the old one
-            self.known, self.older = {}, self.known
-        new = [w for w in {w for c in chunks if c is not None for w in c} if w not in self.known]
-        self.known.update((w, self.older[w]) for w in new if w in self.older)
-        new = [w for w in new if w not in self.older]
-        for at in range(0, len(new), CALL):
-            some = new[at : at + CALL]
-            self.known.update(zip(some, self.whole(some)))
-        get = self.known.__getitem__
-        odd = iter(self.whole([t for t, c in zip(texts, chunks) if c is None]))
-        return [next(odd) if c is None else b"".join(map(get, c)) for c in chunks]
+    def odd(self, text: str) -> bool:
+        return any(s in text for s in self.special) or any(c in text for c in _UNUSUAL)
 
 
-_UNUSUAL = re.compile("[\x1c-\x1f]")
+def _merger(ranks: dict[bytes, int]):
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
 class WordEncoder(Encoder):
-    """For vocabularies with word ends, which drop white space: chunks are what stands between white space."""
+    """For vocabularies with word ends, which drop white space: words are what stands between white space."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.bpe = WordBpe(path)
+        # The merger knows bytes only; two of them make a symbol, the first of which no symbol's second is mixed up with.
+        self.plain = [bytes((0xFE, b)) for b in range(256)]
+        self.final = [bytes((0xFF, b)) for b in range(256)]
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        letters, end = byte_letters(), self.bpe.suffix
+        ranks = {}
+        for token, i in vocab.items():
+            stem = [letters[c] for c in token.removesuffix(end)]
+            ranks[b"".join([self.plain[b] for b in stem[:-1]]) + (self.final if token.endswith(end) else self.plain)[stem[-1]]] = i
+        self.merge = _merger(ranks)
+        self.words = _Words(lambda w: np.array(self.bpe.plain(w, self._word), "<u4").tobytes())
+
+    def _word(self, data: bytes) -> list[int]:
+        ids = self.merge(b"".join([self.plain[b] for b in data[:-1]]) + self.final[data[-1]])
+        goes = self.bpe.goes_with
+        return ids if all([goes(a, b) for a, b in zip(ids, ids[1:])]) else self.bpe.word(data)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = lambda t: not any(s in t for s in self.special) and not _UNUSUAL.search(t)
-        return self._ids([t.split() if plain(t) else None for t in texts], texts)
+        self.words.turn()
+        get = self.words.__getitem__
+        return [self.whole(t) if self.odd(t) else b"".join(map(get, t.split())) for t in texts]
 
 
-_EDGE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+class ByteEncoder(Encoder):
+    """For byte-level vocabularies, whose words begin with the space before them: lines, and words that spaces part."""
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        letters = byte_letters()
+        ranks = {bytes([letters[c] for c in token]): i for token, i in vocab.items()}
+        import tiktoken
 
-class ByteEncoder(Encoder):
-    """For byte-level vocabularies, whose words begin with the space before them: lines, then chunks that begin with a space."""
+        self.ranked = tiktoken.Encoding("bytes", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
+        one = lambda w: np.array(self.ranked.encode_ordinary(w), "<u4").tobytes()
+        self.first, self.rest, self.line = _Words(one), _Words(lambda w: one(" " + w)), one("\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks: list[list[str] | None] = []
+        self.first.turn()
+        self.rest.turn()
+        first, rest, out = self.first.__getitem__, self.rest.__getitem__, []
         for t in texts:
-            if _EDGE.search(t) or any(s in t for s in self.special) or _UNUSUAL.search(t):
-                chunks.append(None)
-                continue
-            out = []
-            for i, line in enumerate(t.split("\n")):
-                if i:
-                    out.append("\n")
-                first, *rest = line.split(" ")
-                if first:
-                    out.append(first)
-                out += [" " + w for w in rest]
-            chunks.append(out)
-        return self._ids(chunks, texts)
+            if not t:
+                out.append(b"")
+            elif self.odd(t) or len(t.split()) != t.count(" ") + t.count("\n") + 1:  # white space other than one space or line end between words
+                out.append(self.whole(t))
+            else:
+                lines = []
+                for line in t.split("\n"):
+                    words = line.split(" ")
+                    lines.append(first(words[0]) + b"".join(map(rest, words[1:])))
+                out.append(self.line.join(lines))
+        return out
 
 
 _open: dict[tuple, Encoder] = {}
 
 
 def encoder(kind: type[Encoder], path: str) -> Encoder:
-    """One for each worker process, which keeps its chunks from task to task."""
+    """One for each worker process, which keeps its words from task to task."""
     return _open.get((kind, path)) or _open.setdefault((kind, path), kind(path))
