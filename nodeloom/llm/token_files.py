@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,7 +217,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", t
     ids.select("doc_id", "start", "ids", "file").mapInArrow(_blocks(lengths), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def _read(lengths: np.ndarray):
+def _read(lengths: np.ndarray, checks: bool):
     def run(batches):
         code = Code(lengths)
         for batch in batches:
@@ -228,26 +227,24 @@ def _read(lengths: np.ndarray):
                 ends = np.cumsum(sizes)
                 parts = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d if d != _NULL else None for d in docs.tolist()], pa.int64()), pa.array(b["first"] + b["before"] + ends - sizes), pa.array(sizes), pa.array([p.tobytes() for p in parts], pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"],
+                    [pa.array([d if d != _NULL else None for d in docs.tolist()], pa.int64()), pa.array(b["first"] + b["before"] + ends - sizes), pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64()) if checks else pa.array([p.tobytes() for p in parts], pa.binary())],
+                    ["doc_id", "start", "n_tokens", "ids_crc32" if checks else "ids"],
                 )
 
     return run
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): the ids as little-endian unsigned 32-bit integers; start counts the ids of all documents before."""
+def read(spark: SparkSession, path: str, checks: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): the ids as little-endian unsigned 32-bit integers; start counts the ids of all documents before.
+
+    With ``checks``, ids_crc32 of these bytes in place of the ids.
+    """
     lengths = np.frombuffer(spark.read.parquet(f"{path}/code").first().lengths, np.uint8)
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     # A row for each file.
     sizes = blocks.groupBy("file").agg(F.sum("n").alias("ids"))
     before = sizes.withColumn("before", F.coalesce(F.sum("ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("ids")
-    return blocks.join(F.broadcast(before), "file").mapInArrow(_read(lengths), "doc_id long, start long, n_tokens long, ids binary")
-
-
-def _checks(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([zlib.crc32(i) for i in batch.column(3).to_pylist()], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    return blocks.join(F.broadcast(before), "file").mapInArrow(_read(lengths, checks), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if checks else "ids binary"))
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -255,4 +252,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write(docs, vocabulary, path)
-    return read(spark, path).mapInArrow(_checks, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(spark, path, checks=True)
