@@ -30,10 +30,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one of the smallest id."""
+    """Of each group of linked documents, the one of the smallest id; documents without an id stay."""
     found = jaccard_components(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(first, "doc_id", "left_semi").select(COLUMNS)
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(others, "doc_id", "left_anti").select(COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
