@@ -276,9 +276,9 @@ def entries(m) -> Column:
 
 
 def from_entries(pairs) -> Column:
-    """The last value of a key counts."""
+    """From structs of key and value; the last value of a key counts."""
     p = col(pairs)
-    kept = F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y[0] == x[0]))
+    kept = F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(kept)
 
 

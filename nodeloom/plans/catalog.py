@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodeloom.language import run as language
 from nodeloom.operators import outline as O
 from nodeloom.operators import relational as R
 from nodeloom.operators import selectors as S
@@ -364,6 +365,34 @@ def interpolated(spark, sf_dir):
     return _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(F.min("p_name").alias("n")).select("doc_id", F.concat("doc_id", F.lit(": "), "n").alias("text"))
 
 
+# The language.
+
+
+def _language(name: str, fixture: str, text: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return language.run(getattr(fixtures, fixture)(spark, sf_dir), text)
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+for _name, _fixture, _text, _sql in [
+    ("ql_headings", "outline", ".h2 | to_text", "SELECT n_regionkey AS doc_id, 'Nation ' || n_nationkey AS value FROM nation"),
+    ("ql_select_contains", "outline", '.h | select(contains("Nation 1")) | to_text | upcase', "SELECT n_regionkey AS doc_id, 'NATION ' || n_nationkey AS value FROM nation WHERE n_nationkey = 1 OR n_nationkey BETWEEN 10 AND 19"),
+    ("ql_code_value", "outline", '.code("l1").value', "SELECT n_regionkey AS doc_id, 'value ' || n_nationkey AS value FROM nation WHERE n_nationkey % 3 = 1"),
+    ("ql_link_url", "outline", ".link.url", "SELECT n_regionkey AS doc_id, 'http://n.example/' || n_nationkey AS value FROM nation"),
+    ("ql_update", "outline", '.code | .code.lang |= "x" | .code.lang', "SELECT n_regionkey AS doc_id, 'x' AS value FROM nation"),
+    ("ql_nodes_len", "outline", "nodes | len", "SELECT n_regionkey AS doc_id, CAST(1 + count(*) * 10 AS VARCHAR) AS value FROM nation GROUP BY 1"),
+    ("ql_section_titles", "outline", 'nodes | section::sections | section::titles | filter(fn(t): starts_with(t, "Nation");) | len', "SELECT n_regionkey AS doc_id, CAST(count(*) AS VARCHAR) AS value FROM nation GROUP BY 1"),
+    ("ql_tasks_done", "orders", "nodes | filter(fn(n): n.done;) | len | if (self > 0): self else: None", "SELECT o_custkey AS doc_id, CAST(count(*) AS VARCHAR) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1"),
+    ("ql_function", "orders", 'def twice(s): to_number(ltrimstr(s, "order ")) * 2; | .list | if (is_none(self)): None else: to_string(twice(to_text(self)))', "SELECT o_custkey AS doc_id, CAST(o_orderkey * 2 AS VARCHAR) AS value FROM orders"),
+    ("ql_fold", "orders", 'nodes | filter(fn(n): n.list;) | map(to_text) | map(fn(s): to_number(ltrimstr(s, "order "));) | sum | to_string', "SELECT o_custkey AS doc_id, CAST(sum(o_orderkey) AS VARCHAR) AS value FROM orders GROUP BY 1"),
+    ("ql_match", "quotes", '.callout | .kind | match(self) do | "NOTE": "note" | _: None end', "SELECT n_nationkey AS doc_id, 'note' AS value FROM nation WHERE n_nationkey % 2 = 0"),
+    ("ql_descendant", "quotes", "nodes | .. | filter(fn(n): n.code;) | map(to_text) | join(\",\")", "SELECT n_nationkey AS doc_id, 'inner ' || n_nationkey || ',outer ' || n_nationkey AS value FROM nation"),
+    ("ql_table_sum", "parts_table", "nodes | filter(fn(n): n.[][2];) | skip(1) | map(fn(c): to_number(to_text(c));) | sum | to_string", "SELECT p_brand AS doc_id, CAST(sum(p_size) AS VARCHAR) AS value FROM part GROUP BY 1"),
+]:
+    _language(_name, _fixture, _text, _sql)
+
+
 @query()
 def stream_lines(spark, sf_dir):
     """Lines of a file source, each by itself; what one trigger over the files gives."""

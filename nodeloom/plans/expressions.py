@@ -145,7 +145,7 @@ PART = {
     "merge_defaults": (lambda: _m(C.merge_defaults(_MAP(), _MAP2())), "'a=' || p_partkey || ',b=' || p_size || ',c=1'"),
     "set": (lambda: _m(C.set_(_MAP(), "b", 0)), "'a=' || p_partkey || ',b=0'"),
     "del": (lambda: _m(C.del_(_MAP(), "a")), "'b=' || p_size"),
-    "from_entries": (lambda: _m(C.from_entries(F.array(F.struct(F.lit("k").alias("k"), F.lit(1).alias("v")), F.struct(F.lit("k").alias("k"), F.col("p_size").alias("v"))))), "'k=' || p_size"),
+    "from_entries": (lambda: _m(C.from_entries(F.array(F.struct(F.lit("k").alias("key"), F.lit(1).alias("value")), F.struct(F.lit("k").alias("key"), F.col("p_size").alias("value"))))), "'k=' || p_size"),
     # Codecs
     "md5": (lambda: codecs.md5("p_name"), "md5(p_name)"),
     "sha256": (lambda: codecs.sha256("p_name"), "sha256(p_name)"),
