@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm.scratch import light_batches
+
 #: Chunks of one generation that a worker keeps, of two.
 CACHE = 250_000
 _WORD_END = 0x1000
@@ -220,6 +222,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have no ids. Each row stands for itself: null and repeated ids pass through, other columns don't.
     """
+    light_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm.scratch import light_batches
+
 #: Pages that training makes, its steps, and the strength of the prior.
 PAGES, STEPS, PRIOR = 400, 250, 1e-3
 
@@ -395,5 +397,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     text joins the blocks of the main text by an empty line; white space inside a block is one space. Null and empty pages,
     and those without such blocks, have an empty text. Null ids and urls and repeated rows pass through, other columns don't.
     """
+    light_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_texts(trained()), "page_id long, url string, text string, n_chars long")

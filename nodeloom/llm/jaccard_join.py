@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 
 from nodeloom.llm import hashing as H
 from nodeloom.llm.components import components
-from nodeloom.llm.scratch import partitions, save
+from nodeloom.llm.scratch import light_batches, partitions, save
 
 #: Shingles that a bucket of the count holds on average, and that a map task holds before it sends them.
 BUCKET = FLUSH = 1 << 21
@@ -285,6 +285,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ignored, whatever their names.
     """
     spark = docs.sparkSession
+    light_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = save(texts.mapInArrow(_describe(words), "doc_id long, n_shingles long, f1 long, f2 long"), "described")
     classes = save(rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "classes").where("node is not null")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from nodeloom.llm.scratch import save
+from nodeloom.llm.scratch import light_batches, save
 from nodeloom.llm.tokens import ByteEncoder, encoder
 
 CAPACITY, BUCKETS = 2048, 64
@@ -99,6 +99,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     cut so that only their first piece is shorter. A sequence's pieces follow each other from offset 0 without gaps. Repeated
     rows are packed as often as they are there; ties of length are placed by id. Other columns are ignored.
     """
+    light_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = texts.mapInArrow(_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = save(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS))), "pieces")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.llm import hashing as H
 from nodeloom.llm import textstats as T
-from nodeloom.llm.scratch import save
+from nodeloom.llm.scratch import light_batches, save
 
 #: Random Fourier features, the kernel's width in deviations, the ridge, bins of raw scores per unit.
 FEATURES, WIDTH, RIDGE, BINS = 192, 4.0, 1e-3, 500
@@ -176,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[QualityModel, DataFrame]:
 
     All labelled rows count, each as often as it is there; the labels' language, source and id are no part of x.
     """
+    light_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = save(texts.mapInArrow(_describe, "doc_id long, x array<double>"), "statistics")
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y"))

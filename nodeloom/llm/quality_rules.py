@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from nodeloom.llm import hashing as H
 from nodeloom.llm import textstats as T
-from nodeloom.llm.scratch import save
+from nodeloom.llm.scratch import light_batches, save
 
 #: Words whose tokens a worker keeps; a group with fewer documents is judged by the band of its script, then by that of all.
 CACHE, GROUP = 300_000, 30
+#: Groups up to which their bands are broadcast.
+FEW = 20_000
 #: Widths of a band: so many spreads between the quartiles below and above them, and this much at least.
 SPREADS = 4.0
 FLOORS = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.02}
@@ -36,7 +38,7 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.place: dict[int, int] = {}
-        self.tokens, self.sizes, self.ready = [], [], 0
+        self.tokens: list[np.ndarray] = []
 
     def ids(self, c: T.Counts) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all rows' words, and the row of each."""
@@ -56,9 +58,6 @@ class Vocabulary:
                     self.tokens.append(np.array(ids, np.int32))
             at[new] = len(self.place) + np.arange(len(new))
             self.place.update(zip(distinct[new].tolist(), at[new].tolist()))
-        sizes = np.array([len(t) for t in self.tokens[self.ready :]], np.int64)
-        self.sizes.append(sizes)
-        self.ready = len(self.tokens)
         own = [self.tokens[i] for i in at]
         n = np.array([len(t) for t in own], np.int64)
         flat = np.concatenate(own) if own else np.zeros(0, np.int32)
@@ -130,6 +129,7 @@ def judge(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
     named like a measure are replaced.
     """
     names = [x.split()[0] for x in MEASURES.split(", ")]
+    light_batches(docs.sparkSession)
     own = docs.drop(*names, "base_failed", "kept", "__lang")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in own.columns else F.lit("")
     own = own.withColumn("__lang", lang)
@@ -140,14 +140,15 @@ def judge(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     rows = rows.withColumns({"base_failed": failed, "__size": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1))))})
     rows = save(rows, "measures")
-    fine = _bands(rows, ["__lang", "script", "__size"]).withColumnRenamed("band", "fine")
-    rough = _bands(rows, ["script"]).withColumnRenamed("band", "rough")
-    every = _bands(rows.withColumn("__all", F.lit(1)), ["__all"]).select(F.col("band").alias("every"))
-    # Groups are languages by scripts by lengths: a few thousand rows, whatever the input's size, if languages are.
-    rows = rows.join(fine, ["__lang", "script", "__size"], "left").join(rough, "script", "left").withColumn("__all", F.lit(1))
-    rows = rows.join(F.broadcast(every.withColumn("__all", F.lit(1))), "__all", "left").withColumn("band", F.coalesce("fine", "rough", "every"))
+    # Groups are languages by scripts by lengths. They are few unless languages are many; only few are broadcast.
+    fine = save(_bands(rows, ["__lang", "script", "__size"]).withColumnRenamed("band", "fine"), "bands")
+    fine = F.broadcast(fine) if fine.count() <= FEW else fine
+    rough = F.broadcast(_bands(rows, ["script"]).withColumnRenamed("band", "rough"))  # a row for each of _SCRIPTS at most
+    every = _bands(rows.withColumn("__all", F.lit(1)), ["__all"]).select("band.*").first()
+    every = F.struct(*[F.lit(v).alias(k) for k, v in every.asDict().items()]) if every else F.lit(None)
+    rows = rows.join(fine, ["__lang", "script", "__size"], "left").join(rough, "script", "left").withColumn("band", F.coalesce("fine", "rough", every))
     within = F.lit(True)
     for m in FLOORS:
         within = within & F.col(m).between(F.col(f"band.{m}_low"), F.col(f"band.{m}_high"))
     kept = ~F.col("base_failed") & F.coalesce(within, F.lit(True))
-    return rows.withColumn("kept", kept).drop("fine", "rough", "every", "band", "__all", "__lang", "__size")
+    return rows.withColumn("kept", kept).drop("fine", "rough", "band", "__lang", "__size")

@@ -52,5 +52,13 @@ def _release_all() -> None:
             release(spark)
 
 
+def light_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the bytes of the batches that Python functions get; long texts would make the default ones large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with contextlib.suppress(Exception):
+        if int(spark.conf.get(name).rstrip("b")) > most:
+            spark.conf.set(name, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

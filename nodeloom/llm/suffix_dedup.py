@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm import hashing as H
-from nodeloom.llm.scratch import partitions, save
+from nodeloom.llm.scratch import light_batches, partitions, save
 
 #: Bytes of the inner windows, texts' bytes worked on at once, rows of a bucket, and the most unlike runs of an anchor that one suffix array takes.
 GRAM, PIECE, BUCKET, SUFFIXES = 100, 1 << 19, 1 << 20, 1 << 14
@@ -447,6 +447,7 @@ def _removal(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, Da
     if length < GRAM + 1 or length > GRAM + 200:
         raise ValueError(f"length is from {GRAM + 1} to {GRAM + 200}")
     spark = docs.sparkSession
+    light_batches(spark)
     out = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     rest = [c for c in docs.columns if c != text_col and c not in out]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from nodeloom.llm.scratch import new_path, partitions, save
+from nodeloom.llm.scratch import light_batches, new_path, partitions, save
 from nodeloom.llm.tokens import WordEncoder, encoder
 
 MAX_BITS, STEP, BLOCK = 20, 512, 1 << 18
@@ -204,6 +204,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", t
     the one id ``end``.
     """
     spark = docs.sparkSession
+    light_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     files = max(partitions(spark), 1)
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_ids(vocabulary, end), "doc_id long, start long, ids binary")
