@@ -117,3 +117,43 @@ def semver_key(s) -> Column:
 
 def levenshtein(a, b) -> Column:
     return F.levenshtein(col(a), col(b))
+
+
+def semver_compare(a, b) -> Column:
+    """-1, 0 or 1."""
+    x, y = semver_key(a), semver_key(b)
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+
+def semver_bump(s, part: str) -> Column:
+    """The next major, minor or patch version; what is less than it becomes 0, and pre-release and build go."""
+    v, n = semver(s), ("major", "minor", "patch").index(part)
+    fields = [v[k] if i < n else v[k] + 1 if i == n else F.lit(0) for i, k in enumerate(("major", "minor", "patch"))]
+    return F.when(v.isNotNull(), F.concat_ws(".", *[f.cast("string") for f in fields]))
+
+
+def semver_satisfies(s, wanted: str) -> Column:
+    """Comparators such as ``>=1.2.0 <2``, ``^1.2``, ``~1.2.3``, with ``||`` between alternatives; releases only, unless named."""
+    import re
+
+    def bounds(text: str) -> Column:
+        m = re.fullmatch(r"(\^|~|>=|<=|>|<|=)?v?(\d+)(?:\.(\d+|x|\*))?(?:\.(\d+|x|\*))?(?:-([\w.]+))?", text)
+        if not m:
+            raise ValueError(f"no such range of versions: {text}")
+        op, numbers = m.group(1) or "=", [int(p) if p and p.isdigit() else None for p in m.group(2, 3, 4)]
+        known = [p for p in numbers if p is not None]
+        low = ".".join(map(str, known + [0] * (3 - len(known)))) + (f"-{m.group(5)}" if m.group(5) else "")
+        key, version = semver_key(s), lambda v: semver_key(F.lit(v))
+        if op in ("^", "~") or (op == "=" and len(known) < 3):
+            i = next((j for j, p in enumerate(known) if p), len(known) - 1) if op == "^" else min(1, len(known) - 1) if op == "~" else len(known) - 1
+            high = ".".join(str(p) for p in [*known[:i], known[i] + 1, *[0] * (2 - i)])
+            return (key >= version(low)) & (key < version(high + "-0"))
+        return {"=": key == version(low), ">": key > version(low), "<": key < version(low), ">=": key >= version(low), "<=": key <= version(low)}[op]
+
+    out: Column | None = None
+    for alternative in wanted.split("||"):
+        every = F.lit(True)
+        for part in alternative.split():
+            every = every & bounds(part)
+        out = every if out is None else out | every
+    return F.coalesce(out, F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -217,3 +218,49 @@ def token_count(s) -> Column:
     """A rough count of a language model's tokens: words and single marks."""
     return F.size(F.regexp_extract_all(col(s), F.lit(r"(\w+|[^\w\s])"), 1))
 
+
+
+def _width(c: str) -> int:
+    import unicodedata
+
+    return 2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1
+
+
+def _display(f):
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f, na_action="ignore")
+
+    return F.pandas_udf(run, "string")
+
+
+def truncate(s, width: int, mark: str = "…") -> Column:
+    """At most ``width`` columns of a terminal, with a mark where something was cut; wide characters take two."""
+
+    def one(t: str) -> str:
+        if sum(map(_width, t)) <= width:
+            return t
+        out, room = "", width - sum(map(_width, mark))
+        for c in t:
+            room -= _width(c)
+            if room < 0:
+                break
+            out += c
+        return out + mark
+
+    return _display(one)(col(s))
+
+
+def word_wrap(s, width: int) -> Column:
+    """Lines of at most ``width`` columns, broken between words."""
+
+    def one(t: str) -> str:
+        out, line = [], ""
+        for word in t.split():
+            if line and sum(map(_width, line)) + 1 + sum(map(_width, word)) > width:
+                out.append(line)
+                line = word
+            else:
+                line = f"{line} {word}" if line else word
+        return "\n".join([*out, line])
+
+    return _display(one)(col(s))

@@ -165,6 +165,77 @@ def demote_heading(spark, sf_dir):
     return O.shift_depth(_nodes(spark, sf_dir), 1).where("kind = 'heading'").groupBy("doc_id", "depth", "name").agg(F.count("*").alias("n"))
 
 
+@query("SELECT n_regionkey AS doc_id, 'Nation ' || n_nationkey AS title FROM nation WHERE CAST(n_nationkey AS VARCHAR) LIKE '%1%'")
+def section_title_contains(spark, sf_dir):
+    return O.sections(_nodes(spark, sf_dir)).where(F.contains("title", F.lit("1"))).select("doc_id", "title")
+
+
+@query("SELECT n_regionkey AS doc_id, 'Nation ' || n_nationkey AS title FROM nation")
+def section_by_level(spark, sf_dir):
+    return O.sections(_nodes(spark, sf_dir), level=2).select("doc_id", "title")
+
+
+@query("SELECT n_regionkey AS doc_id, 'Nation ' || min(n_nationkey) AS title FROM nation GROUP BY 1")
+def section_nth(spark, sf_dir):
+    return O.sections(_nodes(spark, sf_dir)).where("section = 1").select("doc_id", "title")
+
+
+@query("SELECT n_regionkey AS doc_id, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1")
+def section_has_content(spark, sf_dir):
+    return O.sections(_nodes(spark, sf_dir)).where("n_nodes > 0").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_regionkey AS doc_id, CAST(i AS BIGINT) AS section, CAST(CASE WHEN i = 1 THEN 1 ELSE 10 END AS BIGINT) AS n FROM (SELECT n_regionkey, unnest(range(1, count(*) + 2)) AS i FROM nation GROUP BY 1)")
+def section_nodes(spark, sf_dir):
+    return O.section_nodes(_nodes(spark, sf_dir)).groupBy("doc_id", "section").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand AS doc_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS INT) AS place, p_name AS name FROM part")
+def table_sort_rows(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    rows = O.table_records(_nodes(spark, sf_dir, "parts_table")).select("doc_id", F.col("record")["Name"].alias("name"), F.col("record")["Key"].cast("long").alias("key"))
+    return rows.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("name", "key")).alias("place"), "name")
+
+
+@query("SELECT p_brand AS doc_id, p_size AS size, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1, 2")
+def table_filter_rows(spark, sf_dir):
+    rows = O.table_records(_nodes(spark, sf_dir, "parts_table")).select("doc_id", F.col("record")["Size"].cast("int").alias("size"))
+    return rows.where("size > 25").groupBy("doc_id", "size").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand AS doc_id, CAST(p_partkey AS VARCHAR) AS key, name, value FROM (SELECT p_brand, p_partkey, p_name AS \"Name\", CAST(p_size AS VARCHAR) AS \"Size\" FROM part) UNPIVOT (value FOR name IN (\"Name\", \"Size\"))")
+def table_pivot_longer(spark, sf_dir):
+    r = O.table_records(_nodes(spark, sf_dir, "parts_table"))
+    wide = r.select("doc_id", F.col("record")["Key"].alias("key"), F.col("record")["Name"].alias("Name"), F.col("record")["Size"].alias("Size"))
+    return R.pivot_longer(wide, ["doc_id", "key"], ["Name", "Size"])
+
+
+@query("SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) LIKE '%' AS has_heading FROM pages")
+def html_has_heading(spark, sf_dir):
+    from nodeloom.sources import html
+
+    pages = html.convert(_t(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", F.startswith("markdown", F.lit("# ")).alias("has_heading"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')) AS BIGINT) AS n FROM pages")
+def html_paragraphs(spark, sf_dir):
+    """Paragraphs of the main part: blocks after the heading."""
+    from nodeloom.sources import html
+
+    pages = html.convert(_t(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", (F.size(F.split("markdown", "\n\n")) - 1).cast("long").alias("n"))
+
+
+@query("SELECT n_regionkey AS doc_id, CAST(count(*) * 10 + 1 AS BIGINT) AS blocks FROM nation GROUP BY 1")
+def write_documents(spark, sf_dir):
+    from nodeloom.sources import sinks
+
+    texts = sinks.documents(_nodes(spark, sf_dir).withColumn("markdown", F.regexp_replace("markdown", "\n", " ")))
+    return texts.select("doc_id", F.size(F.split("value", "\n")).cast("long").alias("blocks"))
+
+
 # Joins.
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nodeloom.functions import codecs, collections as C, dates, formats, fuzzy, kinds, text as S
+from nodeloom.functions import codecs, collections as C, dates, formats, fuzzy, kinds, markdown as MD, text as S
 
 _NUMS = lambda: F.array(F.col("p_size"), F.col("p_partkey").cast("int") % 7, F.lit(5), F.lit(3))
 _NUMS_SQL = "[CAST(p_size AS INT), CAST(p_partkey AS INT) % 7, 5, 3]"
@@ -163,6 +163,30 @@ PART = {
     "semver_order": (lambda: codecs.semver_key(_VER()) > codecs.semver_key(F.lit("1.2.0-rc.1")), "(p_size % 4, p_partkey % 5, p_size % 3) >= (1, 2, 0)"),
     "levenshtein": (lambda: codecs.levenshtein("p_name", F.lit("red bolt")), "CAST(levenshtein(p_name, 'red bolt') AS INT)"),
     "jaro": (lambda: _r(fuzzy.jaro("p_name", F.lit("red bolt"))), "round(jaro_similarity(p_name, 'red bolt'), 6)"),
+    "semver_compare": (lambda: codecs.semver_compare(_VER(), F.lit("2.1.0")), "CAST(CASE WHEN (p_size % 4, p_partkey % 5, p_size % 3) < (2, 1, 0) THEN -1 WHEN (p_size % 4, p_partkey % 5, p_size % 3) > (2, 1, 0) THEN 1 ELSE 0 END AS INT)"),
+    "semver_bump_minor": (lambda: codecs.semver_bump(_VER(), "minor"), "(p_size % 4) || '.' || (p_partkey % 5 + 1) || '.0'"),
+    "semver_bump_major": (lambda: codecs.semver_bump(_VER(), "major"), "(p_size % 4 + 1) || '.0.0'"),
+    "semver_satisfies_caret": (lambda: codecs.semver_satisfies(_VER(), "^1.2.0"), "p_size % 4 = 1 AND (p_partkey % 5, p_size % 3) >= (2, 0)"),
+    "semver_satisfies_range": (lambda: codecs.semver_satisfies(_VER(), ">=1.1.0 <3 || ~0.3"), "((p_size % 4, p_partkey % 5, p_size % 3) >= (1, 1, 0) AND p_size % 4 < 3) OR (p_size % 4 = 0 AND p_partkey % 5 = 3)"),
+    "truncate": (lambda: S.truncate("p_name", 6), "CASE WHEN length(p_name) <= 6 THEN p_name ELSE left(p_name, 5) || '…' END"),
+    "word_wrap": (lambda: S.word_wrap("p_name", 4), "replace(p_name, ' ', chr(10))"),
+    "toml_stringify": (lambda: formats.from_json("toml")(F.format_string('{"a": %d, "t": {"n": "%s"}}', "p_size", "p_name")), "'a = ' || p_size || chr(10) || '[t]' || chr(10) || 'n = \"' || p_name || '\"'"),
+    "toon_stringify": (lambda: formats.from_json("toon")(F.format_string('{"a": [%d, 2], "n": "%s"}', "p_size", "p_name")), "'a[2]: ' || p_size || ',2' || chr(10) || 'n: ' || p_name"),
+    "toon_parse": (lambda: formats.to_json("toon")(F.format_string("a[2]: %d,2\nn: %s", "p_size", "p_name")), "'{\"a\": [' || p_size || ', 2], \"n\": \"' || p_name || '\"}'"),
+    "xml_stringify": (lambda: formats.from_json("xml")(F.format_string('{"tag": "p", "attributes": {"k": "%d"}, "children": [], "text": "%s"}', "p_size", "p_name")), "'<p k=\"' || p_size || '\">' || p_name || '</p>'"),
+    "csv_stringify": (lambda: formats.from_json("csv")(F.format_string('[{"a": %d, "b": "x,%s"}]', "p_size", "p_name")), "'a,b' || chr(10) || p_size || ',\"x,' || p_name || '\"'"),
+    "md_heading": (lambda: MD.h("p_name", 2), "'## ' || p_name"),
+    "md_code": (lambda: MD.code("p_name", "sql"), "'```sql' || chr(10) || p_name || chr(10) || '```'"),
+    "md_inline": (lambda: F.concat_ws(" ", MD.strong("p_name"), MD.em("p_name"), MD.delete("p_name"), MD.code_inline("p_name"), MD.math_inline("p_name")), "'**' || p_name || '** *' || p_name || '* ~~' || p_name || '~~ `' || p_name || '` $' || p_name || '$'"),
+    "md_link": (lambda: MD.link(F.concat(F.lit("http://p/"), "p_partkey"), "p_name", "T"), "'[' || p_name || '](http://p/' || p_partkey || ' \"T\")'"),
+    "md_image": (lambda: MD.image(F.lit("u.png"), "p_name"), "'![' || p_name || '](u.png)'"),
+    "md_list": (lambda: MD.list_item("p_name", 1, checked=F.col("p_size") > 25), "'  - [' || CASE WHEN p_size > 25 THEN 'x' ELSE ' ' END || '] ' || p_name"),
+    "md_callout": (lambda: MD.callout("p_name", "note", "T"), "'> [!NOTE] T' || chr(10) || '> ' || p_name"),
+    "md_quote": (lambda: MD.blockquote(F.replace("p_name", F.lit(" "), F.lit("\n"))), "'> ' || replace(p_name, ' ', chr(10) || '> ')"),
+    "md_table_row": (lambda: MD.table_row("p_partkey", F.concat(F.lit("a|"), "p_name")), "'| ' || p_partkey || ' | a\\|' || p_name || ' |'"),
+    "md_footnote": (lambda: MD.footnote("p_name", "p_partkey"), "'[^' || p_partkey || ']: ' || p_name"),
+    "md_definition": (lambda: MD.definition(F.lit("http://x"), "p_partkey"), "'[' || p_partkey || ']: http://x'"),
+    "md_doc": (lambda: MD.doc(MD.h("p_name"), F.nullif(F.lit("x"), F.lit("x")), MD.math("p_name")), "'# ' || p_name || chr(10) || chr(10) || '$$' || chr(10) || p_name || chr(10) || '$$'"),
     "yaml_round_trip": (lambda: formats.to_json("yaml")(F.format_string("a: %d\nb:\n- %s\n", "p_size", "p_name")), "'{\"a\": ' || p_size || ', \"b\": [\"' || p_name || '\"]}'"),
     "toml_parse": (lambda: formats.to_json("toml")(F.format_string("[t]\na = %d\n", "p_size")), "'{\"t\": {\"a\": ' || p_size || '}}'"),
     "csv_parse": (lambda: formats.to_json("csv")(F.format_string("a,b\n%d,\"x,%s\"\n", "p_size", "p_name")), "'[{\"a\": \"' || p_size || '\", \"b\": \"x,' || p_name || '\"}]'"),
