@@ -30,7 +30,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one of the smallest id; documents without an id stay."""
+    """Of each group of linked documents, the one of the smallest id, and one row of it; documents without an id stay."""
+    docs = docs.select(COLUMNS)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        once = docs.join(repeated, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
+        docs = save(docs.join(repeated, "doc_id", "left_anti").select(COLUMNS).unionByName(once), "once")
     found = jaccard_components(docs)
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(COLUMNS).join(others, "doc_id", "left_anti").select(COLUMNS)
