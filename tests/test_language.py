@@ -48,6 +48,17 @@ VALUES = [
     ('join_by([{id: None}], [{uid: None}], "id", "uid", "full") | len', 2),
     ("describe([1, 2, 3])", {"min": 1, "max": 3, "mean": 2, "median": 2, "stddev": (2 / 3) ** 0.5, "variance": 2 / 3, "count": 3}),
     ('{a: {b: 1}} | get_path(["a", "b"])', 1),
+    ('semver::semver_sort(["1.10.0", "1.2.0", "1.2.0-rc.1"])', ["1.2.0-rc.1", "1.2.0", "1.10.0"]),
+    ('semver::semver_satisfies("1.4.2", "^1.2 || 3.x")', True),
+    ('semver::semver_satisfies("2.0.0-rc.1", "^1.2")', False),
+    ('semver::semver_bump_minor("1.2.3-a")', "1.3.0"),
+    ('fuzzy::fuzzy_best_match(["red bolt", "blue nut"], "red bold") | .text', "red bolt"),
+    ('toon::toon_parse("a: 1") | toml::toml_stringify', "a = 1"),
+    ('{a: [1, {b: 2}]} | cbor::cbor_stringify | cbor::cbor_parse', {"a": [1, {"b": 2}]}),
+    ('indices("banana", "ana")', [1, 3]),
+    ('del_paths({a: 1, b: {c: 2, d: 3}}, [["a"], ["b", "c"]])', {"b": {"d": 3}}),
+    ('try: test::assert_eq(1, 2) catch(e): e["message"]', "not equal: 1, 2"),
+    ('csv::csv_parse("a,b\\n1,2", true) | csv::csv_to_markdown_table', "| a | b |\n| --- | --- |\n| 1 | 2 |"),
     ('truncate("kana かな", 6)', "kana …"),
 ]
 
@@ -80,6 +91,23 @@ def test_nodes(query, want):
     assert [show(v) for v in compact(evaluate(query, markdown(DOC)))] == want
 
 
+TABLE = "| K | A | B |\n| --- | --- | --- |\n| x | 2 | 3 |\n| w | 4 | 5 |\n\npara\n\n| Z |\n| --- |\n| z |\n"
+TABLES = [
+    ("nodes | table::tables | len", 2),
+    ("nodes | table::tables | first | table::to_array | first", {"K": "x", "A": "2", "B": "3"}),
+    ("nodes | table::tables | first | table::sort_rows(self, 0) | table::to_csv", "K,A,B\nw,4,5\nx,2,3"),
+    ("nodes | table::tables | first | table::pivot_longer([1, 2]) | table::to_csv", "K,name,value\nx,A,2\nx,B,3\nw,A,4\nw,B,5"),
+    ('nodes | table::tables | first | table::pivot_longer([1, 2]) | table::pivot_wider("name", "value") | table::to_csv', "K,A,B\nx,2,3\nw,4,5"),
+    ('nodes | table::tables | first | table::add_row(["u", "6", "7"]) | table::filter_rows(fn(r): to_text(first(r)) != "x";) | table::to_csv', "K,A,B\nw,4,5\nu,6,7"),
+]
+
+
+@pytest.mark.parametrize("query, want", TABLES)
+def test_tables(query, want):
+    got = evaluate(query, markdown(TABLE))
+    assert got == [want]
+
+
 @pytest.mark.parametrize("query", ["f(", "no_such(1)", "1 +", "let = 1", '"a', "1 / 0", "map(1, 2, 3, 4)"])
 def test_errors(query):
     with pytest.raises(QueryError):
