@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_ORDER = W.partitionBy("doc_id").orderBy("pos")
+
+def _order():
+    return W.partitionBy("doc_id").orderBy("pos")
 
 
 def _top(nodes: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def sections(nodes: DataFrame, nested: bool = False, level: int | None = None) -
     """
     top = _top(nodes)
     starts = F.col("kind") == "heading" if level is None else (F.col("kind") == "heading") & (F.col("depth") == level)
-    ahead = _ORDER.rowsBetween(1, W.unboundedFollowing)
+    ahead = _order().rowsBetween(1, W.unboundedFollowing)
     if nested:
         end = F.lit(None).cast("int")
         for d in range(1, 7):
@@ -35,13 +37,13 @@ def sections(nodes: DataFrame, nested: bool = False, level: int | None = None) -
         for d in range(1, 7):
             end_top = F.when(F.col("depth") == d, F.coalesce(F.min(F.when(starts & (F.col("depth") <= d), F.col("top"))).over(ahead), last + 1)).otherwise(end_top)
     out = top.withColumns({"end_pos": end, "end_top": end_top, "starts": starts}).where("starts")
-    number = F.row_number().over(_ORDER) - 1
+    number = F.row_number().over(_order()) - 1
     return out.select("doc_id", number.alias("section"), "pos", "end_pos", "depth", F.col("text").alias("title"), (F.col("end_top") - F.col("top") - 1).alias("n_nodes"))
 
 
 def section_nodes(nodes: DataFrame) -> DataFrame:
     """Top nodes with the number of the section that they stand in: 0 before the first heading."""
-    return _top(nodes).withColumn("section", F.sum(F.when(F.col("kind") == "heading", 1).otherwise(0)).over(_ORDER))
+    return _top(nodes).withColumn("section", F.sum(F.when(F.col("kind") == "heading", 1).otherwise(0)).over(_order()))
 
 
 def contents(nodes: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def contents(nodes: DataFrame) -> DataFrame:
 def tables(nodes: DataFrame) -> DataFrame:
     """Table cells with the number of their table in the document: a table begins at a first row's first cell."""
     first = (F.col("kind") == "table_cell") & (F.col("row") == 0) & (F.col("col") == 0)
-    top = _top(nodes).withColumn("table", F.sum(F.when(first, 1).otherwise(0)).over(_ORDER) - 1)
+    top = _top(nodes).withColumn("table", F.sum(F.when(first, 1).otherwise(0)).over(_order()) - 1)
     return top.where("kind = 'table_cell'")
 
 
