@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm.scratch import light_batches
+from nodeloom.llm.workers import held
 
 #: Chunks of one generation that a worker keeps, of two.
 CACHE = 250_000
@@ -198,12 +199,11 @@ class WordBpe:
 
 #: Python takes these for white space and Unicode does not.
 _UNUSUAL = re.compile("[\x1c-\x1f]")
-_open: dict[str, WordBpe] = {}
 
 
 def vocabulary(path: str) -> WordBpe:
     """One for each worker process, which keeps its words from task to task."""
-    return _open.get(path) or _open.setdefault(path, WordBpe(os.fspath(path)))
+    return held(("bpe", path), lambda: WordBpe(os.fspath(path)))
 
 
 def _digests(path: str):

@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from nodeloom.llm import hashing as H
 from nodeloom.llm.components import components
 from nodeloom.llm.scratch import light_batches, partitions, save
+from nodeloom.llm.workers import free, trim
 
 #: Shingles that a bucket of the count holds on average, and that a map task holds before it sends them.
 BUCKET = FLUSH = 1 << 21
@@ -44,6 +45,7 @@ def _sets(batches, k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
 
 def _describe(k: int):
     def run(batches):
+        free()
         for ids, sets in _sets(batches, k):
             prints = [H.fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -101,6 +103,7 @@ def _deal(k: int, buckets: int):
                 known, sets, held = [], [], 0
         if sets:
             yield flush(known, sets)
+        trim()
 
     return run
 
@@ -127,7 +130,10 @@ def _shared(parts: int):
         take = first & (many[key] > 1)
         keys, owner, many = keys[take], owner[take], many[key[take]].astype(np.uint32)
         columns = _by_part(_scaled(H.mix(sets[owner, 0].astype(np.uint64)), parts), owner, sets, keys, many)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_NAMES)
+        out = pa.table([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_NAMES)
+        del sets, owner, keys, order, key, many, columns
+        trim()
+        return out
 
     return run
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from nodeloom.llm import hashing as H
 from nodeloom.llm import textstats as T
 from nodeloom.llm.scratch import light_batches, save
+from nodeloom.llm.workers import free, trim
 
 #: Random Fourier features, the kernel's width in deviations, the ridge, bins of raw scores per unit.
 FEATURES, WIDTH, RIDGE, BINS = 192, 4.0, 1e-3, 500
@@ -73,9 +74,11 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 
 def _describe(batches):
+    free()
     for batch in batches:
         for part, x in _rows(batch, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(x)], ["doc_id", "x"])
+    trim()
 
 
 @dataclass

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from nodeloom.llm import hashing as H
 from nodeloom.llm import textstats as T
 from nodeloom.llm.scratch import light_batches, save
+from nodeloom.llm.workers import held, trim
 
 #: Words whose tokens a worker keeps; a group with fewer documents is judged by the band of its script, then by that of all.
-CACHE, GROUP = 300_000, 30
+CACHE, GROUP = 200_000, 30
 #: Groups up to which their bands are broadcast.
 FEW = 20_000
 #: Widths of a band: so many spreads between the quartiles below and above them, and this much at least.
@@ -80,13 +81,12 @@ def _script(text: bytes) -> str:
     return max(found, key=found.get)
 
 
-_open: dict[str, Vocabulary] = {}
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, script string, chars_per_token double, byte_share double, entropy double"
 
 
 def _measure(path: str, column: int):
     def run(batches):
-        vocabulary = _open.get(path) or _open.setdefault(path, Vocabulary(path))
+        vocabulary = held(("pieces", path), lambda: Vocabulary(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -101,6 +101,7 @@ def _measure(path: str, column: int):
                 arrays = [c.n_words, c.word_chars, c.classes[:, T.SYMBOL], T.line_counts(c)[1], T.repeated_words(c, 8), total, scripts, c.word_chars / np.maximum(total, 1), fallback, entropy]
                 names = [x.split()[0] for x in MEASURES.split(", ")]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in arrays)], [*part.schema.names, *names])
+        trim()
 
     return run
 

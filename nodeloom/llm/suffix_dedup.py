@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.llm import hashing as H
 from nodeloom.llm.scratch import light_batches, partitions, save
+from nodeloom.llm.workers import free, trim
 
 #: Bytes of the inner windows, texts' bytes worked on at once, rows of a bucket, and the most unlike runs of an anchor that one suffix array takes.
 GRAM, PIECE, BUCKET, SUFFIXES = 100, 1 << 19, 1 << 20, 1 << 14
@@ -134,6 +135,7 @@ def _prints(part) -> np.ndarray:
 
 def _deal(length: int, buckets: int):
     def run(batches):
+        free()
         prints, owners, runs, rows, held = [], [], [], 0, 0
         for part in _unseen(batches):
             owner, some = _runs(*H.text_bytes(part.column(2)), length)
@@ -147,6 +149,7 @@ def _deal(length: int, buckets: int):
                 prints, owners, runs, rows, held = [], [], [], 0, 0
         if held:
             yield _packed(_bucket((r := np.concatenate(runs))["key"], buckets), np.concatenate(owners), np.concatenate(prints), r)
+        trim()
 
     return run
 
@@ -324,7 +327,10 @@ def _suffix_arrays(length: int):
             owners.append(which)
             found.append(one)
         sets, which = np.unique(prints, axis=0, return_inverse=True)
-        return _by_owner(sets, which.ravel()[np.concatenate(owners)], np.concatenate(found))
+        out = _by_owner(sets, which.ravel()[np.concatenate(owners)], np.concatenate(found))
+        del owners, found, strings
+        trim()
+        return out
 
     return run
 

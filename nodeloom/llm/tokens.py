@@ -14,9 +14,10 @@ from collections.abc import Callable
 import numpy as np
 
 from nodeloom.llm.bpe import WordBpe, byte_letters
+from nodeloom.llm.workers import held
 
 #: Words of one generation that a worker keeps, of two.
-CACHE = 400_000
+CACHE = 250_000
 #: Python takes these for white space and Unicode does not.
 _UNUSUAL = "\x1c\x1d\x1e\x1f"
 
@@ -129,9 +130,6 @@ class ByteEncoder(Encoder):
         return out
 
 
-_open: dict[tuple, Encoder] = {}
-
-
 def encoder(kind: type[Encoder], path: str) -> Encoder:
     """One for each worker process, which keeps its words from task to task."""
-    return _open.get((kind, path)) or _open.setdefault((kind, path), kind(path))
+    return held((kind.__name__, path), lambda: kind(path))
