@@ -1,10 +1,13 @@
 """Documents to training sequences: quality, rules, near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next one's docs.
+So a stage begins by deleting the tables that the stages before it have written on their way.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +16,37 @@ from nodeloom.llm.jaccard_join import jaccard_components
 from nodeloom.llm.packing import pack
 from nodeloom.llm.quality_classifier import keep_good
 from nodeloom.llm.quality_rules import judge
-from nodeloom.llm.scratch import save
+from nodeloom.llm.scratch import owned, release, save
 from nodeloom.llm.suffix_dedup import remove_repeats
 
+def _stage(f):
+    """A stage that first deletes what the stages before it have written on their way."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, docs, "pipeline")
+        with owned("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
     return keep_good(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the fixed limits and the bands of tokeniser fertility."""
     return judge(docs.select(COLUMNS), public_tokenizers.path("piece_bpe_32k.model")).where("kept").select(COLUMNS)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one of the smallest id, and one row of it; documents without an id stay."""
     docs = docs.select(COLUMNS)
@@ -41,12 +59,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(COLUMNS).join(others, "doc_id", "left_anti").select(COLUMNS)
 
 
+@_stage
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated passages; n_chars follows the text."""
     cut = remove_repeats(docs.select(COLUMNS)).withColumnRenamed("kept_text", "text")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+@_stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 2048 tokens."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))

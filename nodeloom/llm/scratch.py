@@ -9,7 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str | None]] = []
+_owner: list[str | None] = [None]
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,7 +24,7 @@ def folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{folder(spark)}/nodeloom/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written.append((spark, path, _owner[0]))
     return path
 
 
@@ -36,18 +37,32 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; results that read them must have been consumed."""
-    for own, path in [x for x in _written if x[0] is spark]:
+@contextlib.contextmanager
+def owned(name: str):
+    """Tables written inside are the owner's, to be released together."""
+    before, _owner[0] = _owner[0], name
+    try:
+        yield
+    finally:
+        _owner[0] = before
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None, owner: str | None = None) -> None:
+    """Delete the tables written so far, or the owner's, but for those that ``keep`` reads; other results must have been consumed."""
+    files = keep.inputFiles()[:1] if keep is not None else []
+    for entry in [x for x in _written if x[0] is spark and (owner is None or x[2] == owner)]:
+        path = entry[1]
+        if any(path.rsplit("/", 1)[1] in f for f in files):
+            continue
         with contextlib.suppress(Exception):
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        _written.remove((own, path))
+        _written.remove(entry)
 
 
 @atexit.register
 def _release_all() -> None:
-    for spark in {id(s): s for s, _ in _written}.values():
+    for spark in {id(s): s for s, _, _ in _written}.values():
         with contextlib.suppress(Exception):
             release(spark)
 
