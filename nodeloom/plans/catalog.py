@@ -211,12 +211,13 @@ def table_pivot_longer(spark, sf_dir):
     return R.pivot_longer(wide, ["doc_id", "key"], ["Name", "Size"])
 
 
-@query("SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) LIKE '%' AS has_heading FROM pages")
-def html_has_heading(spark, sf_dir):
+@query("SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages")
+def html_heading(spark, sf_dir):
+    """The main part's first heading, from HTML by way of Markdown."""
     from nodeloom.sources import html
 
     pages = html.convert(_t(spark, sf_dir, "pages").select("page_id", "html"))
-    return pages.select("page_id", F.startswith("markdown", F.lit("# ")).alias("has_heading"))
+    return pages.select("page_id", F.regexp_extract("markdown", "^# (.*)", 1).alias("title"))
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')) AS BIGINT) AS n FROM pages")
@@ -425,7 +426,7 @@ def fuzzy_levenshtein(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", F.lit("blue bolt")).cast("long").alias("score")).where("score <= 3")
 
 
-@query("SELECT o_orderstatus, group_concat_hash AS members FROM (SELECT o_orderstatus, count(*) AS group_concat_hash FROM orders GROUP BY 1)")
+@query("SELECT o_orderstatus, count(*) AS members FROM orders GROUP BY 1")
 def aggregate_documents(spark, sf_dir):
     members = F.collect_list("o_orderkey")
     return _t(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.size(members).cast("long").alias("members"))
