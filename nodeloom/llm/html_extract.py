@@ -310,6 +310,8 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, list[str]]]:
 
         if rnd.random() < 0.85:
             add("h1", words(1, 10))
+            if rnd.random() < 0.2:
+                out[-1] = f"<header>{out[-1]}</header>"
         for _ in range(rnd.choice([0, 1, 2, 3, 5, 8, 14])):
             kind = rnd.random()
             if kind < 0.62:
@@ -343,6 +345,8 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, list[str]]]:
         after = [rest(k) for k in ("comment", "side", "ad", "form", "notice", "foot", "other") if rnd.random() < 0.4]
         rnd.shuffle(before)
         inner, main = body()
+        if rnd.random() < 0.25:
+            inner = f"<section>{inner}</section>"
         kind = rnd.random()
         if kind < 0.5:
             inner = f"<article>{inner}</article>"
