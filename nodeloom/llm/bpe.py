@@ -130,9 +130,15 @@ class WordBpe:
             else:
                 before, y, on_left = self.rank[y], self.left[y], False
 
+    def makes_itself(self, i: int, data: bytes, last: bool) -> bool:
+        """Whether BPE makes this entry of its own bytes, which end a word or don't."""
+        return self._symbols(data[:-1].decode("latin-1") + chr((_WORD_END if last else 0) + data[-1])) == [i]
+
     def word(self, data: bytes) -> list[int]:
         """The ids of one word's bytes."""
-        text = data[:-1].decode("latin-1") + chr(_WORD_END + data[-1])
+        return self._symbols(data[:-1].decode("latin-1") + chr(_WORD_END + data[-1]))
+
+    def _symbols(self, text: str) -> list[int]:
         longest, known = self.automaton.iter_long, self.compatible
         # The longest entries one after the other are right up to the first border that a merge crosses.
         greedy = [token for _, token in longest(text)]

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +19,7 @@ from nodeloom.llm.bpe import WordBpe, byte_letters
 from nodeloom.llm.workers import held
 
 #: Words of one generation that a worker keeps, of two.
-CACHE = 250_000
+CACHE = 400_000
 #: Python takes these for white space and Unicode does not.
 _UNUSUAL = "\x1c\x1d\x1e\x1f"
 
@@ -61,6 +63,10 @@ class Encoder:
         return any(s in text for s in self.special) or any(c in text for c in _UNUSUAL)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 def _merger(ranks: dict[bytes, int]):
     import tiktoken
 
@@ -82,14 +88,25 @@ class WordEncoder(Encoder):
         ranks = {}
         for token, i in vocab.items():
             stem = [letters[c] for c in token.removesuffix(end)]
-            ranks[b"".join([self.plain[b] for b in stem[:-1]]) + (self.final if token.endswith(end) else self.plain)[stem[-1]]] = i
+            last = token.endswith(end)
+            # The merger joins whatever makes an entry; the library joins listed pairs only. In any word both pass through the
+            # same states if BPE makes each entry of its own text, so other entries are left out: nothing makes them.
+            if len(stem) == 1 or self.bpe.makes_itself(i, bytes(stem), last):
+                ranks[b"".join([self.plain[b] for b in stem[:-1]]) + (self.final if last else self.plain)[stem[-1]]] = i
         self.merge = _merger(ranks)
-        self.words = _Words(lambda w: np.array(self.bpe.plain(w, self._word), "<u4").tobytes())
+        self.words = _Words(self._new)
+
+    def _new(self, word: str) -> bytes:
+        low = word.replace("\u03a3", "\u03c3").lower()
+        if low[-1] in ".,!?;:" and len(low) > 1 and low[-2].isalpha():
+            return self.words[word[:-1]] + self.words[word[-1]]
+        if low.isalpha() and (low.isascii() or unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)):
+            return _packed(self._word(low.encode()))
+        return _packed(self.bpe.plain(word, self._word))
 
     def _word(self, data: bytes) -> list[int]:
-        ids = self.merge(b"".join([self.plain[b] for b in data[:-1]]) + self.final[data[-1]])
-        goes = self.bpe.goes_with
-        return ids if all([goes(a, b) for a, b in zip(ids, ids[1:])]) else self.bpe.word(data)
+        plain = self.plain
+        return self.merge(b"".join([plain[b] for b in data[:-1]]) + self.final[data[-1]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.words.turn()
@@ -109,7 +126,7 @@ class ByteEncoder(Encoder):
         import tiktoken
 
         self.ranked = tiktoken.Encoding("bytes", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
-        one = lambda w: np.array(self.ranked.encode_ordinary(w), "<u4").tobytes()
+        one = lambda w: _packed(self.ranked.encode_ordinary(w))
         self.first, self.rest, self.line = _Words(one), _Words(lambda w: one(" " + w)), one("\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
