@@ -57,6 +57,20 @@ def _predicate(e) -> Column | None:
         return None
 
 
+def _flat_kind(selector: str) -> str | None:
+    """The kind that a selector asks for, if such nodes have none of their kind in them."""
+    kind = "heading" if re.fullmatch(r"\.h([1-6]|eading)?", selector) else _KIND_OF.get(selector[1:])
+    return kind if kind in _FLAT else None
+
+
+def _wanted(query: str) -> list[str] | None:
+    """The kinds that can be in the result, if the query begins with a selector of one; the parser needs to give no others."""
+    first = (parse(query) or [("",)])[0]
+    first = first[1] if first[0] == "chain" and first[3] else first
+    kind = _flat_kind(first[1]) if first[0] == "selector" else None
+    return [kind] if kind else None
+
+
 def compiled(nodes: DataFrame, query: str) -> DataFrame | None:
     """(doc_id, pos, value) by columns, or None if the query needs the evaluator."""
     hit, value, is_node, nests = F.lit(True), F.col("markdown"), True, True
@@ -84,7 +98,7 @@ def compiled(nodes: DataFrame, query: str) -> DataFrame | None:
             if where is None:
                 return None
             hit = hit & where
-            nests = nests and not (step[0] == "selector" and _KIND_OF.get(step[1][1:], "heading" if re.fullmatch(r"\.h([1-6]|eading)?", step[1]) else "") in _FLAT)
+            nests = nests and not (step[0] == "selector" and _flat_kind(step[1]))
         if attribute is not None:
             try:
                 value, is_node = selectors.attribute(attribute).cast("string"), False
@@ -127,7 +141,7 @@ def evaluate(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str
 
 def run(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", mdx: bool = False, modules: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, value): the query's values that are not empty, by columns where that is possible."""
-    by_columns = compiled(parse_markdown(docs, id_col, text_col, mdx), query)
+    by_columns = compiled(parse_markdown(docs, id_col, text_col, mdx, _wanted(query)), query)
     if by_columns is not None:
         return by_columns.select("doc_id", "value")
     return evaluate(docs, query, id_col, text_col, mdx, modules).select("doc_id", "value")
