@@ -21,8 +21,9 @@ from nodeloom.llm.workers import held, trim
 CACHE, GROUP = 200_000, 30
 #: Groups up to which their bands are broadcast.
 FEW = 20_000
-#: Widths of a band: so many spreads between the quartiles below and above them, and this much at least.
-SPREADS = 4.0
+#: Widths of a band: so many spreads between the quartiles below and above them, and this much at least. Junk takes more tokens a
+#: character and repeats them, so it lies on the low side of both measures; the high side is for what is unlike everything else.
+SPREADS = {"chars_per_token": (2.0, 3.0), "byte_share": (3.0, 3.0), "entropy": (1.5, 3.0)}
 FLOORS = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.02}
 _SCRIPTS = [(0x0370, 0x03FF, "greek"), (0x0400, 0x052F, "cyrillic"), (0x0590, 0x05FF, "hebrew"), (0x0600, 0x06FF, "arabic"), (0x0900, 0x097F, "devanagari"), (0x0E00, 0x0E7F, "thai"), (0x3040, 0x30FF, "kana"), (0x4E00, 0x9FFF, "han"), (0xAC00, 0xD7AF, "hangul")]
 
@@ -113,8 +114,8 @@ def _bands(rows: DataFrame, keys: list[str]) -> DataFrame:
     out = []
     for m, floor in FLOORS.items():
         low, high = F.col(m)[0], F.col(m)[1]
-        reach = F.greatest(SPREADS * (high - low), F.lit(floor))
-        out += [(low - reach).alias(f"{m}_low"), (high + reach).alias(f"{m}_high")]
+        below, above = (F.greatest(n * (high - low), F.lit(floor)) for n in SPREADS[m])
+        out += [(low - below).alias(f"{m}_low"), (high + above).alias(f"{m}_high")]
     return groups.select(*keys, F.struct(*out).alias("band"))
 
 

@@ -251,6 +251,15 @@ def test_quality_rules_base(docs, rows):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_quality_rules_bands(spark, sf):
+    """Junk that passes the fixed limits mostly goes, clean documents mostly stay."""
+    read = lambda n: spark.read.parquet(f"{sf}/../sf0.01/{n}.parquet")
+    judged = quality_rules.judge(read("documents"), P.path("piece_bpe_32k.model"), keep_text=False).where("not base_failed")
+    kept = {(r.quality, r.kept): r["count"] for r in judged.join(read("labels"), "doc_id").groupBy("quality", "kept").count().collect()}
+    junk, clean = (kept.get((q, True), 0) / (kept.get((q, True), 0) + kept.get((q, False), 0)) for q in (0, 1))
+    assert junk <= 0.4 and clean >= 0.98, kept
+
+
 def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert jaccard_join.jaccard_components(empty).count() == 0
