@@ -12,6 +12,10 @@ windows: its anchor. So the suffixes are dealt out by anchor, and equal strings
    occurrences;
 4. texts get the union of their occurrences.
 
+Step 3 gives what step 4 needs and no more. ``maximal_repeats`` goes on from there: of the starts of repeated strings only those
+whose occurrences have unlike bytes on their left begin a maximal repeat, so these are dealt by their string, with all
+occurrences and the bytes up to the end of the repeated span, and each string's suffixes are sorted and scanned.
+
 Texts that are equal as a whole are found by a 128-bit hash and worked on once. An anchor with more unlike runs than
 ``SUFFIXES`` allows is decided by 64-bit hashes of its strings instead, which are dealt by the string and so meet in no one task.
 """
@@ -32,7 +36,7 @@ from nodeloom.llm.workers import free, trim
 
 #: Bytes of the inner windows, texts' bytes worked on at once, rows of a bucket, and the most unlike runs of an anchor that one suffix array takes.
 GRAM, PIECE, BUCKET, SUFFIXES = 100, 1 << 19, 1 << 20, 1 << 14
-FULL, OPEN, HOT = 1, 2, 4
+FULL, OPEN, HOT, MIXED = 1, 2, 4, 8
 _RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("at", "<u4"), ("back", "u1"), ("more", "u1")])
 
 
@@ -189,7 +193,7 @@ def _flag(table: pa.Table) -> pa.Table:
     new_run = new_key | np.concatenate([[True], runs["content"][1:] != runs["content"][:-1]])
     in_run = np.bincount(np.cumsum(new_run) - 1)[np.cumsum(new_run) - 1]
     unlike = np.bincount(np.cumsum(new_key) - 1, weights=new_run)[np.cumsum(new_key) - 1]
-    flags = np.where(in_run > 1, FULL, 0) | np.where((unlike > 1) & new_run, np.where(unlike > SUFFIXES, HOT, OPEN), 0)
+    flags = np.where(in_run > 1, FULL, 0) | np.where((unlike > 1) & new_run, np.where(unlike > SUFFIXES, HOT, OPEN), 0) | np.where(unlike > 1, MIXED, 0)
     take = flags > 0
     out = np.zeros(int(take.sum()), _FLAGGED)
     for name in ("key", "content", "back", "more"):
@@ -386,6 +390,13 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[first], b[np.append(first[1:] - 1, len(a) - 1)]
 
 
+def _spans_of(flagged: list[bytes] | None, found: list[bytes] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+    runs = np.frombuffer(b"".join(flagged or []), _FLAGGED)
+    runs = runs[(runs["flags"] & FULL) > 0]
+    more = np.frombuffer(b"".join(found or []), _REPEAT)
+    return spans(np.concatenate([runs["start"], more["start"]]), np.concatenate([runs["more"].astype(np.int64) + length, more["size"]]))
+
+
 def _cut(length: int):
     """Each row's removed spans, from whole copies, whole runs and maximal repeats."""
 
@@ -400,10 +411,7 @@ def _cut(length: int):
                     if (copies or 1) > 1:
                         a, b = (np.array([0]), np.array([len(text)])) if len(text) >= length else spans(np.zeros(0), np.zeros(0))
                     else:
-                        runs = np.frombuffer(b"".join(flagged or []), _FLAGGED)
-                        runs = runs[(runs["flags"] & FULL) > 0]
-                        more = np.frombuffer(b"".join(found or []), _REPEAT)
-                        a, b = spans(np.concatenate([runs["start"], more["start"]]), np.concatenate([runs["more"].astype(np.int64) + length, more["size"]]))
+                        a, b = _spans_of(flagged, found, length)
                     kept = np.ones(len(text), bool)
                     for x, y in zip(a, b):
                         kept[x:y] = False
@@ -432,12 +440,135 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200) -
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
-    """(group, doc_id, start, size): the open anchors' maximal repeats with all occurrences; rows of equal texts share them."""
-    joined, found = _removal(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", length)[1:]
-    unpacked = found.mapInArrow(_listed, "f1 long, f2 long, group long, start long, size long")
+    """(group, doc_id, start, size): every maximal repeat of ``length`` bytes and more, with all its occurrences.
+
+    A group is a string, that no occurrence of can be made longer on either side and stay equal to all others; ``group`` is its
+    64-bit hash. Rows of equal texts are occurrences each. Groups lie within each other, so a text of one character over and
+    over has as many rows as half its length squared. One task takes all occurrences of a string of ``length`` bytes.
+    """
+    _, joined, found, buckets = _removal(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", length)
+    owned = "f1 long, f2 long, vals binary"
+    some = joined.where("flagged is not null or copies > 1").select("f1", "f2", "text", "copies", "flagged")
+    starts = some.mapInArrow(_starts(length, buckets), "bucket int, prints binary, counts binary, vals binary").groupBy("bucket").applyInArrow(_begin, owned)
+    starts = starts.groupBy("f1", "f2").agg(F.collect_list("vals").alias("starts"))
+    per_text = found.groupBy("f1", "f2").agg(F.collect_list("vals").alias("found"))
+    strings = some.join(starts, ["f1", "f2"]).join(per_text, ["f1", "f2"], "left").select("f1", "f2", "text", "copies", "flagged", "found", "starts")
+    strings = strings.mapInArrow(_extend(length, buckets), "bucket int, f1 long, f2 long, key long, start long, left int, many boolean, string binary")
+    whole = save(strings.groupBy("bucket").applyInArrow(_trees(length), owned), "maximal")
+    unpacked = whole.mapInArrow(_listed, "f1 long, f2 long, group long, start long, size long")
     return joined.select("rest.doc_id", "f1", "f2").join(unpacked, ["f1", "f2"]).select("group", "doc_id", "start", "size")
 
 
+#: A start of a repeated string: the string's hash, the byte on its left or -1, whether other rows have the same text.
+_START = np.dtype([("key", "<u8"), ("start", "<u4"), ("left", "<i2"), ("many", "u1")])
+
+
+def _starts(length: int, buckets: int):
+    """Starts at which a maximal repeat may begin.
+
+    Where all runs of an anchor are alike, only their first starts may: the others have the same byte on the left everywhere.
+    """
+
+    def run(batches):
+        for part in _unseen(batches):
+            data, offsets = H.text_bytes(part.column(2))
+            owners, out = [], []
+            for i, (copies, packed) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist())):
+                text, many = data[offsets[i] : offsets[i + 1]], (copies or 1) > 1
+                places = [(int(x["start"]), int(x["more"]) if x["flags"] & MIXED else 0) for x in np.frombuffer(b"".join(packed or []), _FLAGGED)]
+                for at, more in [*places, *([(0, 0)] if many else [])]:
+                    sums = _sums(text[at : at + more + length])
+                    one = np.zeros(more + 1, _START)
+                    one["key"] = H.mix((sums[length:] - sums[:-length]) * H.powers(H.INVERSE, len(one)))
+                    one["start"], one["many"] = at + np.arange(more + 1), many
+                    one["left"] = text[at - 1 : at + more] if at else np.concatenate([[-1], text[:more].astype(np.int16)])
+                    owners.append(np.full(more + 1, i))
+                    out.append(one)
+            if out:
+                values = np.concatenate(out)
+                yield _packed(_bucket(values["key"], buckets), np.concatenate(owners), _prints(part), values)
+
+    return run
+
+
+def _begin(table: pa.Table) -> pa.Table:
+    """Of one bucket of strings: the starts of those that are there twice or more, with unlike bytes on their left."""
+    sets, owner, values = _unpacked(table, _START)
+    order = np.lexsort((values["start"], owner, values["left"], values["key"]))
+    owner, values = owner[order], values[order]
+    key, left = values["key"], values["left"]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    owner, values, key, left = owner[new], values[new], key[new], left[new]
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    which = np.cumsum(new_key) - 1
+    n = np.bincount(which, weights=1 + values["many"])
+    lefts = np.bincount(which, weights=new_key | np.concatenate([[True], left[1:] != left[:-1]]))
+    take = ((n > 1) & ((lefts > 1) | (np.bincount(which, weights=left < 0) > 0)))[which]
+    return _by_owner(sets, owner[take], values[take])
+
+
+def _extend(length: int, buckets: int):
+    """The starts with their bytes up to the end of the repeated span, beyond which no repeat goes."""
+    names = ["bucket", "f1", "f2", "key", "start", "left", "many", "string"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+
+    def run(batches):
+        out, held = [], 0
+        for part in _unseen(batches):
+            data, offsets = H.text_bytes(part.column(2))
+            for i, (p, copies, flagged, found, packed) in enumerate(zip(_prints(part).tolist(), *(part.column(c).to_pylist() for c in (3, 4, 5, 6)))):
+                text = data[offsets[i] : offsets[i + 1]]
+                a, b = _spans_of(flagged, found, length) if (copies or 1) == 1 else (np.array([0]), np.array([len(text)]))
+                starts = np.frombuffer(b"".join(packed), _START)
+                for x, to, k in zip(starts, _bucket(starts["key"], buckets).tolist(), starts["key"].astype(np.int64).tolist()):
+                    span = int(np.searchsorted(a, x["start"], "right")) - 1
+                    if span >= 0 and x["start"] < b[span]:
+                        out.append((to, *p, k, int(x["start"]), int(x["left"]), bool(x["many"]), text[x["start"] : b[span]].tobytes()))
+                        held += len(out[-1][-1])
+                    if held >= 1 << 22:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return run
+
+
+def _same(x: bytes, y: bytes) -> int:
+    n = min(len(x), len(y))
+    unlike = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n))
+    return int(unlike[0]) if len(unlike) else n
+
+
+def _trees(length: int):
+    """Maximal repeats that begin with the same string: its suffixes in order, their common prefixes, the scan."""
+
+    def run(table: pa.Table) -> pa.Table:
+        prints = np.stack([table["f1"].to_numpy(), table["f2"].to_numpy()], axis=1)
+        sets, owner = np.unique(prints, axis=0, return_inverse=True)
+        owner, start, strings = owner.ravel(), table["start"].to_numpy(), table["string"].to_pylist()
+        left, many = table["left"].to_pylist(), table["many"].to_pylist()
+        groups: dict[int, dict[tuple[int, int], int]] = {}
+        for i, (k, o, s) in enumerate(zip(table["key"].to_pylist(), owner.tolist(), start.tolist())):
+            groups.setdefault(k, {})[o, s] = i
+        owners, found = [np.zeros(0, np.int64)], [np.zeros(0, _REPEAT)]
+        for group in groups.values():
+            rows = [i for i in sorted(group.values(), key=strings.__getitem__) for _ in range(1 + many[i])]
+            common = np.array([0, *(_same(strings[x], strings[y]) for x, y in zip(rows, rows[1:]))])
+            lefts = [left[i] if left[i] >= 0 else -1 - n for n, i in enumerate(rows)]
+            for size, first, last in _scan(np.array(rows), common, lefts, length):
+                which = np.unique(rows[first : last + 1])
+                one = np.zeros(len(which), _REPEAT)
+                one["group"] = int.from_bytes(hashlib.blake2b(strings[rows[first]][:size], digest_size=8).digest(), "little", signed=True)
+                one["start"], one["size"] = start[which], size
+                owners.append(owner[which])
+                found.append(one)
+        return _by_owner(sets, np.concatenate(owners), np.concatenate(found))
+
+    return run
+
+
 def _listed(batches):
     for batch in batches:
         values = [np.frombuffer(v, _REPEAT) for v in batch.column(2).to_pylist()]
@@ -449,7 +580,7 @@ def _listed(batches):
         )
 
 
-def _removal(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _removal(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     if length < GRAM + 1 or length > GRAM + 200:
         raise ValueError(f"length is from {GRAM + 1} to {GRAM + 200}")
     spark = docs.sparkSession
@@ -478,4 +609,4 @@ def _removal(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, Da
     cut = joined.join(per_text, ["f1", "f2"], "left").select("rest", "text", "copies", "flagged", "found")
     kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("__")).alias("rest")).schema["rest"].dataType.simpleString()
     cut = cut.mapInArrow(_cut(length), f"rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return cut.select(*[F.col(f"rest.`{c}`") for c in rest], *out), joined, found
+    return cut.select(*[F.col(f"rest.`{c}`") for c in rest], *out), joined, found, buckets

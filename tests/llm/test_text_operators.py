@@ -125,6 +125,36 @@ def test_maximal_repeats_are_all_there():
     assert (258, ((0, 0), (2, 1))) in found and (240, ((0, 20), (1, 0))) in found
 
 
+def maximal(rows, length=200):
+    """(string, doc_id, start) of every maximal repeat, from all suffixes."""
+    starts, out = defaultdict(list), Counter()
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            starts[b[p : p + length]].append((b[p:], b[p - 1] if p else None, i, p))
+    for group in starts.values():
+        group.sort(key=lambda g: g[0])
+        common = {x[0][: next((j for j, (c, d) in enumerate(zip(x[0], y[0])) if c != d), min(len(x[0]), len(y[0])))] for x, y in zip(group, group[1:])}
+        for w in common:
+            have = [g for g in group if g[0].startswith(w)]
+            if len({g[1] for g in have}) > 1 or have[0][1] is None:
+                out.update((w, i, p) for _, _, i, p in have)
+    return out
+
+
+def test_maximal_repeats(spark, rows):
+    """Groups are whole, with all occurrences: passages copied verbatim, copies of texts, anchors with unlike runs."""
+    rnd = random.Random(6)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = noise(2000)
+    some = [r[:2] for r in rows if len(r[1] or "") < 2000]
+    some += [(200 + i, noise(300) + passage + noise(300)) for i in range(5)] + [(300, passage[500:1500]), (301, "é" + passage[1400:]), (302, passage), (302, passage), (303, noise(250))]
+    want = Counter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), i, p, len(w)) for (w, i, p), n in maximal(some).items() for _ in range(n))
+    got = suffix_dedup.maximal_repeats(spark.createDataFrame(some, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == want
+    assert sum(r["size"] == 2000 for r in got) == 7
+
+
 def test_hot_anchors_go_by_string():
     text = bytes(random.Random(1).choice(b"abc") for _ in range(3000))
     owner, runs = suffix_dedup._runs(np.frombuffer(text, np.uint8), np.array([0, 3000]), 200)
