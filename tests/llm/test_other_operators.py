@@ -73,6 +73,25 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), "vec_id % 20 = 0").count() == 0
 
 
+def test_neighbours_of_equal_vectors(spark):
+    """Ties go to the smaller ids, in large groups of equal vectors too."""
+    rows = vectors(600)
+    hot = rows[7][1]
+    rows += [(1000 + 7 * i % 400, hot) for i in range(400)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), "vec_id % 20 = 0").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    x, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    assert set(found) == set(ids[ids % 20 == 0].tolist())
+    for q, ranks in found.items():
+        s = np.zeros(len(ids))
+        for d in range(16):
+            s += x[:, d] * x[ids == q][0, d]
+        s[ids == q] = -np.inf
+        assert [ranks[i] for i in range(1, 21)] == ids[np.lexsort((ids, -s))[:20]].tolist()
+
+
 def test_conversations(spark, sf, monkeypatch):
     monkeypatch.setattr(chat_format, "BLOCK", 2)
     a = [("user", "hi"), ("assistant", "yo"), ("user", "x"), ("assistant", None), ("user", "z")]
