@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nodeloom.llm import ann, chat_format, html_extract, queries
@@ -37,6 +38,14 @@ def test_hilbert_steps_to_neighbours():
     assert set(np.abs(np.diff(path, axis=0)).sum(axis=1)) == {1}
 
 
+def test_rows_of_one_cell_have_keys_of_their_own():
+    near = np.ones((1000, 16)) + np.random.default_rng(1).normal(size=(1000, 16)) * 1e-9
+    batch = pa.table({"vec_id": np.arange(1000), "v": near.tolist()}).to_batches()[0]
+    (got,) = ann._keys(1, 3, 10)([pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(1000), pa.nulls(1000)], ["vec_id", "v", "ids", "asks"])])
+    key = got.column("key").to_numpy()
+    assert len(np.unique(key)) > 990 and len(np.unique(key >> 20)) <= 8 and 0 <= key.min() and key.max() < 1 << 52
+
+
 def vectors(n, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, 16))
