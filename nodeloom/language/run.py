@@ -1,12 +1,14 @@
 """Queries over tables of documents.
 
 Pipelines of selectors, ``select`` with conditions on a node's text or attributes, attributes and text functions compile to
-filters and projections over the ``nodes`` table, so that Catalyst prunes what the parser's rows carry. Any other query is
+filters and projections over the ``nodes`` table, for which the parser gives only the kinds of nodes that they can hit. Any other query is
 evaluated document by document in an Arrow function, which needs no shuffle: a document is one row.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 import json
 import re
 
@@ -111,7 +113,7 @@ def compiled(nodes: DataFrame, query: str) -> DataFrame | None:
     return rows.select("doc_id", "pos", F.col("__value").alias("value")).where("value <> ''")
 
 
-def _evaluated(query: str, mdx: bool, modules: dict[str, str] | None):
+def _evaluated(query: str, mdx: bool, host: dict):
     def run(batches):
         from nodeloom.language.evaluate import Evaluator, compact, plain, show
         from nodeloom.sources import markdown_parser as M
@@ -121,7 +123,7 @@ def _evaluated(query: str, mdx: bool, modules: dict[str, str] | None):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    found = compact(Evaluator(modules).document(steps, M.parse(text or "", mdx)))
+                    found = compact(Evaluator(**host).document(steps, M.parse(text or "", mdx)))
                     rows += [(doc, i, show(v), json.dumps(plain(v), ensure_ascii=False), None) for i, v in enumerate(found)]
                 except Exception as error:  # one document's error is its own
                     rows.append((doc, None, None, None, str(error)))
@@ -132,16 +134,54 @@ def _evaluated(query: str, mdx: bool, modules: dict[str, str] | None):
     return run
 
 
-def evaluate(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", mdx: bool = False, modules: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, place, value, json, error) of each value that the query gives for a document; an error is a row of its own."""
+def evaluate(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", mdx: bool = False, **host) -> DataFrame:
+    """(doc_id, place, value, json, error) of each value that the query gives for a document; an error is a row of its own.
+
+    ``host``: modules (texts by name), files (contents by path, the only ones that the query can read), functions (the host's own by
+    name) and seconds (after which a document's query is given up). They travel with the plan, so they should be small.
+    """
     parse(query)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_evaluated(query, mdx, modules), f"doc_id {own.schema[0].dataType.simpleString()}, place int, value string, json string, error string")
+    return own.mapInArrow(_evaluated(query, mdx, host), f"doc_id {own.schema[0].dataType.simpleString()}, place int, value string, json string, error string")
 
 
-def run(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", mdx: bool = False, modules: dict[str, str] | None = None) -> DataFrame:
+def run(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", mdx: bool = False, **host) -> DataFrame:
     """(doc_id, value): the query's values that are not empty, by columns where that is possible."""
-    by_columns = compiled(parse_markdown(docs, id_col, text_col, mdx, _wanted(query)), query)
+    by_columns = None if host else compiled(parse_markdown(docs, id_col, text_col, mdx, _wanted(query)), query)
     if by_columns is not None:
         return by_columns.select("doc_id", "value")
-    return evaluate(docs, query, id_col, text_col, mdx, modules).select("doc_id", "value")
+    return evaluate(docs, query, id_col, text_col, mdx, **host).select("doc_id", "value")
+
+
+def _of_rows(query: str, names: list[str], host: dict):
+    def run(batches):
+        from nodeloom.language.evaluate import Evaluator, Scope, plain
+
+        steps = parse(query)
+        for batch in batches:
+            values, errors = [], []
+            for row in batch.to_pylist():
+                row = {k: v.timestamp() if isinstance(v, dt.datetime) else float(v) if isinstance(v, decimal.Decimal) else v for k, v in row.items()}
+                ev = Evaluator(**host)
+                ev.top.names |= row
+                try:
+                    found = ev.over(steps, row, Scope(ev.top))
+                    values.append(json.dumps(plain(found), ensure_ascii=False, separators=(",", ":")))
+                    errors.append(None)
+                except Exception as error:  # one row's error is its own
+                    values.append(None)
+                    errors.append(str(error))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string()), pa.array(errors, pa.string())], [*names, "value", "error"])
+
+    return run
+
+
+def over_rows(rows: DataFrame, query: str, **host) -> DataFrame:
+    """``rows`` with value, what the query gives for a row as JSON, and error.
+
+    A row is a map in the pipe, and its columns are variables of the query. Columns named value or error are replaced.
+    """
+    parse(query)
+    own = rows.drop("value", "error")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return own.mapInArrow(_of_rows(query, own.columns, host), ", ".join(x for x in (fields, "value string, error string") if x))

@@ -11,7 +11,7 @@ from nodeloom.language import run as language
 from nodeloom.operators import outline as O
 from nodeloom.operators import relational as R
 from nodeloom.operators import selectors as S
-from nodeloom.plans import expressions, fixtures
+from nodeloom.plans import expressions, fixtures, language_queries
 from nodeloom.sources.nodes import parse_markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -474,3 +474,4 @@ def stream_lines(spark, sf_dir):
 
 
 expressions.register(QUERIES, SQL)
+language_queries.register(QUERIES, SQL)

@@ -16,6 +16,10 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main menu ol p pre section summary table tbody td tfoot th thead tr ul".split())
 
 
+#: How deep elements can lie in each other.
+NEST = 100
+
+
 class _Element:
     def __init__(self, tag: str, attributes: dict[str, str | None]):
         self.tag, self.attributes, self.children = tag, attributes, []
@@ -33,7 +37,7 @@ class _Tree(HTMLParser):
             self.stack.pop()
         element = _Element(tag, dict(attrs))
         self.stack[-1].children.append(element)
-        if tag not in _VOID:
+        if tag not in _VOID and len(self.stack) < NEST:  # what lies deeper is beside, not inside
             self.stack.append(element)
 
     def handle_endtag(self, tag):

@@ -3,6 +3,9 @@
 The dialect is GitHub's, with front matter, math, footnotes, callouts, wiki links and embeds, and MDX on demand. Paragraphs are
 no nodes of their own: what is inline in them stands in the list of blocks. Each list item is a node, those of inner lists
 follow it one level deeper; each table cell is a node, and the row of alignments follows the first row.
+
+Nodes lie at most NEST deep in quotes, items and footnotes, and inline ones NEST deep in each other: what a text opens beyond that
+is plain text, so that no text can exhaust the stack.
 """
 
 from __future__ import annotations
@@ -13,11 +16,18 @@ from dataclasses import dataclass, field
 from typing import Any
 
 
+#: How deep nodes can lie in each other.
+NEST = 48
+
+
 @dataclass
 class Node:
     kind: str
     children: list[Node] = field(default_factory=list)
     attributes: dict[str, Any] = field(default_factory=dict)
+    #: First and last line of a top-level block, from 1.
+    lines: tuple[int, int] | None = field(default=None, compare=False)
+    height: int = field(default=0, compare=False)
 
     def plain(self) -> str:
         """The text of the node and all in it."""
@@ -47,22 +57,33 @@ def parse(text: str, mdx: bool = False) -> list[Node]:
     for mark, kind in (("---", "yaml"), ("+++", "toml")):
         if lines[0].rstrip() == mark and (end := next((i for i in range(1, len(lines)) if lines[i].rstrip() == mark), 0)):
             out.append(Node(kind, attributes={"value": "\n".join(lines[1:end])}))
+            out[0].lines = (1, end + 1)
             lines = lines[end + 1 :]
-            break
-    return out + _blocks(lines, mdx, {})
+            return out + _blocks(lines, mdx, 0, first=end + 2)
+    return _blocks(lines, mdx, 0, first=1)
 
 
-def _blocks(lines: list[str], mdx: bool, counts: dict, level: int = 0) -> list[Node]:
+def _blocks(lines: list[str], mdx: bool, nest: int, level: int = 0, first: int = 0) -> list[Node]:
+    """The nodes of some lines; with ``first``, the number of the first of them, nodes know their lines."""
     out: list[Node] = []
     held: list[str] = []
+    deep = nest >= NEST
 
     def paragraph() -> None:
         if held:
-            out.extend(inline("\n".join(x.lstrip() for x in held).rstrip(), mdx))
+            some = inline("\n".join(x.lstrip() for x in held).rstrip(), mdx)
+            for node in some if first else []:
+                node.lines = (first + i - len(held), first + i - 1)
+            out.extend(some)
             held.clear()
 
-    i = 0
+    i = began = 0
     while i < len(lines):
+        for node in reversed(out if first else []):
+            if node.lines:
+                break
+            node.lines = (first + began, first + i - 1)
+        began = i
         line = lines[i]
         if not line.strip():
             paragraph()
@@ -70,6 +91,7 @@ def _blocks(lines: list[str], mdx: bool, counts: dict, level: int = 0) -> list[N
             continue
         if held and (m := re.match(r" {0,3}(=+|-+)[ \t]*$", line)):
             node = Node("heading", inline("\n".join(x.strip() for x in held), mdx), {"depth": 1 if m.group(1)[0] == "=" else 2})
+            began -= len(held)
             held.clear()
             out.append(node)
             i += 1
@@ -96,26 +118,26 @@ def _blocks(lines: list[str], mdx: bool, counts: dict, level: int = 0) -> list[N
             paragraph()
             out.append(Node("hr"))
             i += 1
-        elif re.match(r" {0,3}>", line):
+        elif not deep and re.match(r" {0,3}>", line):
             paragraph()
             end, inner = i, []
             while end < len(lines) and lines[end].strip() and (re.match(r" {0,3}>", lines[end]) or not _starts(lines[end], mdx)):
                 inner.append(re.sub(r"^ {0,3}> ?", "", lines[end]))
                 end += 1
             if inner and (m := _CALLOUT.match(inner[0])):
-                out.append(Node("callout", _blocks(inner[1:], mdx, {}), {"callout": m.group(1).upper(), "title": m.group(2).strip() or None}))
+                out.append(Node("callout", _blocks(inner[1:], mdx, nest + 1), {"callout": m.group(1).upper(), "title": m.group(2).strip() or None}))
             else:
-                out.append(Node("blockquote", _blocks(inner, mdx, {})))
+                out.append(Node("blockquote", _blocks(inner, mdx, nest + 1)))
             i = end
-        elif (m := _ITEM.match(line)) and not (held and (not m.group(4) or m.group(2)[0].isdigit() and m.group(2)[:-1] != "1")):
+        elif not deep and (m := _ITEM.match(line)) and not (held and (not m.group(4) or m.group(2)[0].isdigit() and m.group(2)[:-1] != "1")):
             paragraph()
-            i = _list(lines, i, out, mdx, level)
-        elif m := _FOOTNOTE.match(line):
+            i = _list(lines, i, out, mdx, level, nest, first)
+        elif not deep and (m := _FOOTNOTE.match(line)):
             paragraph()
             end = i + 1
             while end < len(lines) and (re.match(r"(?: {4}|\t)\S", lines[end]) or not lines[end].strip() and end + 1 < len(lines) and re.match(r" {4}|\t", lines[end + 1])):
                 end += 1
-            out.append(Node("footnote", _blocks([m.group(2), *(x.strip() for x in lines[i + 1 : end])], mdx, {}), {"ident": m.group(1)}))
+            out.append(Node("footnote", _blocks([m.group(2), *(x.strip() for x in lines[i + 1 : end])], mdx, nest + 1), {"ident": m.group(1)}))
             i = end
         elif not held and (m := _DEFINITION.match(line)):
             out.append(Node("definition", attributes={"ident": m.group(1).lower(), "label": m.group(1), "url": m.group(2), "title": m.group(3) or m.group(4) or m.group(5)}))
@@ -136,7 +158,7 @@ def _blocks(lines: list[str], mdx: bool, counts: dict, level: int = 0) -> list[N
         elif mdx and not held and re.match(r"\{.*\}[ \t]*$", line):
             out.append(Node("mdx_flow_expression", attributes={"value": line.strip()[1:-1]}))
             i += 1
-        elif mdx and not held and (m := _JSX.match(line)):
+        elif mdx and not held and not deep and (m := _JSX.match(line)):
             name, close = m.group(1), f"</{m.group(1)}>"
             if m.group(3):
                 out.append(Node("mdx_jsx_flow_element", attributes={"name": name}))
@@ -144,7 +166,7 @@ def _blocks(lines: list[str], mdx: bool, counts: dict, level: int = 0) -> list[N
             else:
                 end = next((j for j in range(i, len(lines)) if close in lines[j]), len(lines) - 1)
                 body = "\n".join(lines[i : end + 1])[m.end() :].split(close)[0]
-                out.append(Node("mdx_jsx_flow_element", _blocks(body.split("\n"), mdx, {}), {"name": name}))
+                out.append(Node("mdx_jsx_flow_element", _blocks(body.split("\n"), mdx, nest + 1), {"name": name}))
                 i = end + 1
         elif not held and not mdx and _HTML_BLOCK.match(line):
             end = i
@@ -158,6 +180,8 @@ def _blocks(lines: list[str], mdx: bool, counts: dict, level: int = 0) -> list[N
             held.append(line)
             i += 1
     paragraph()
+    for node in out if first else []:
+        node.lines = node.lines or (first + began, first + i - 1)
     return out
 
 
@@ -166,7 +190,7 @@ def _starts(line: str, mdx: bool) -> bool:
     return bool(_HEADING.match(line) or _FENCE.match(line) or _RULE.match(line) or _ITEM.match(line))
 
 
-def _list(lines: list[str], i: int, out: list[Node], mdx: bool, level: int) -> int:
+def _list(lines: list[str], i: int, out: list[Node], mdx: bool, level: int, nest: int, first: int) -> int:
     """Items of one list, and after each the items of the lists in it."""
     ordered, mark = None, ""
     index = 0
@@ -179,7 +203,7 @@ def _list(lines: list[str], i: int, out: list[Node], mdx: bool, level: int) -> i
         elif (m.group(2)[0].isdigit(), m.group(2)[-1]) != (ordered, mark):
             break
         width = len(m.group(1)) + len(m.group(2)) + min(len(m.group(3) or " "), 4)
-        body, i = [m.group(4) or ""], i + 1
+        start, body, i = i, [m.group(4) or ""], i + 1
         while i < len(lines):
             if not lines[i].strip():
                 ahead = next((x for x in lines[i + 1 :] if x.strip()), "")
@@ -196,9 +220,9 @@ def _list(lines: list[str], i: int, out: list[Node], mdx: bool, level: int) -> i
         checked = None
         if t := _TASK.match(body[0]):
             checked, body[0] = t.group(1) != " ", body[0][t.end() :]
-        inner = _blocks(body, mdx, {}, level + 1)
+        inner = _blocks(body, mdx, nest + 1, level + 1)
         own = [n for n in inner if n.kind != "list"]
-        out.append(Node("list", own, {"level": level, "ordered": ordered, "checked": checked, "idx": index}))
+        out.append(Node("list", own, {"level": level, "ordered": ordered, "checked": checked, "idx": index}, (first + start, first + i - 1) if first else None))
         out.extend(n for n in inner if n.kind == "list")
         index += 1
         while i < len(lines) and not lines[i].strip():
@@ -234,8 +258,8 @@ def _table(lines: list[str], i: int, out: list[Node], mdx: bool) -> int:
 
 _ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 _INLINE = re.compile(
-    r"(?P<escape>\\[!-/:-@\[-`{-~])|(?P<code>(?<!`)(?P<ticks>`+)(?!`)(?P<body>.+?)(?<!`)(?P=ticks)(?!`))|(?P<embed>!\[\[(?P<etarget>[^\]|]+)(?:\|(?P<edisplay>[^\]]*))?\]\])"
-    r"|(?P<wiki>\[\[(?P<wtarget>[^\]|]+)(?:\|(?P<wtext>[^\]]*))?\]\])|(?P<fref>\[\^(?P<fident>[^\]]+)\])"
+    r"(?P<escape>\\[!-/:-@\[-`{-~])|(?P<code>(?<!`)(?P<ticks>`+)(?!`)(?P<body>.+?)(?<!`)(?P=ticks)(?!`))|(?P<embed>!\[\[(?P<etarget>[^\[\]|]+)(?:\|(?P<edisplay>[^\]]*))?\]\])"
+    r"|(?P<wiki>\[\[(?P<wtarget>[^\[\]|]+)(?:\|(?P<wtext>[^\]]*))?\]\])|(?P<fref>\[\^(?P<fident>[^\[\]]+)\])"
     r"|(?P<math>(?<!\$)\$(?P<mbody>[^$\n]+?)\$(?!\$))|(?P<auto><(?P<aurl>[a-zA-Z][a-zA-Z0-9+.-]+:[^\s<>]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>)"
     r"|(?P<bare>(?<![\w/])(?:https?://|www\.)[^\s<>]*[^\s<>?!.,:*_~'\")\]])|(?P<tag></?[a-zA-Z][^<>]*>|<!--.*?-->)"
     r"|(?P<open>!?\[)|(?P<hard>(?: {2,}|\\)\n)|(?P<soft>\n)|(?P<marks>\*+|_+|~{1,2})|(?P<brace>\{[^{}]*\})",
@@ -243,29 +267,26 @@ _INLINE = re.compile(
 )
 
 
-def _closing(text: str, at: int) -> int:
-    """Place of the bracket that closes the one before ``at``; -1 if there is none."""
-    depth = 1
-    while at < len(text):
-        if text[at] == "\\":
-            at += 1
-        elif text[at] == "[":
-            depth += 1
-        elif text[at] == "]":
-            depth -= 1
-            if not depth:
-                return at
-        at += 1
-    return -1
+def _brackets(text: str) -> dict[int, int]:
+    """Place of the bracket that closes each opening one."""
+    out: dict[int, int] = {}
+    open_at: list[int] = []
+    for m in re.finditer(r"\\.|[\[\]]", text, re.S):
+        if m.group() == "[":
+            open_at.append(m.start())
+        elif m.group() == "]" and open_at:
+            out[open_at.pop()] = m.start()
+    return out
 
 
 _TARGET = re.compile(r"\(\s*(?:<([^>]*)>|((?:[^\s()\\]|\\.|\([^\s()]*\))*))(?:\s+(?:\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|\(([^)]*)\)))?\s*\)")
 
 
-def inline(text: str, mdx: bool = False) -> list[Node]:
+def inline(text: str, mdx: bool = False, nest: int = 0) -> list[Node]:
     """The inline nodes of a text: code, links and the like first, then emphasis around them."""
     parts: list[Node | tuple[str, bool, bool]] = []
     at, n = 0, len(text)
+    closing: dict[int, int] | None = None
 
     def plain(piece: str) -> None:
         if piece:
@@ -311,21 +332,23 @@ def inline(text: str, mdx: bool = False) -> list[Node]:
             else:
                 plain(m.group())
         elif kind == "open":
-            image, end = m.group()[0] == "!", _closing(text, at)
+            if closing is None:
+                closing = _brackets(text)
+            image, end = m.group()[0] == "!", closing.get(at - 1, -1) if nest < NEST else -1
             target = _TARGET.match(text, end + 1) if end >= 0 else None
             reference = re.compile(r"\[([^\]]*)\]").match(text, end + 1) if end >= 0 else None
             label = text[at:end]
             if target:
                 url, title = target.group(1) if target.group(1) is not None else _ESCAPE.sub(r"\1", target.group(2)), target.group(3) or target.group(4) or target.group(5)
                 if image:
-                    parts.append(Node("image", attributes={"url": url, "alt": "".join(c.plain() for c in inline(label)), "title": title}))
+                    parts.append(Node("image", attributes={"url": url, "alt": "".join(c.plain() for c in inline(label, nest=nest + 1)), "title": title}))
                 else:
-                    parts.append(Node("link", [c for x in inline(label, mdx) for c in (x.children if x.kind == "link" else [x])], {"url": url, "title": title}))
+                    parts.append(_over("link", [c for x in inline(label, mdx, nest + 1) for c in (x.children if x.kind == "link" else [x])], {"url": url, "title": title}))
                 at = target.end()
             elif reference:
                 ident = (reference.group(1) or label).lower()
                 shared = {"ident": ident, "label": reference.group(1) or label}
-                parts.append(Node("image_ref", attributes=shared | {"alt": label}) if image else Node("link_ref", inline(label, mdx), shared))
+                parts.append(Node("image_ref", attributes=shared | {"alt": label}) if image else _over("link_ref", inline(label, mdx, nest + 1), shared))
                 at = reference.end()
             else:
                 plain(m.group())
@@ -340,31 +363,43 @@ def inline(text: str, mdx: bool = False) -> list[Node]:
     return _emphasis(parts)
 
 
+def _over(kind: str, inner: list[Node], attributes: dict[str, Any] | None = None) -> Node:
+    """A node over others; over those that lie too deep it holds their text."""
+    height = 1 + max((c.height for c in inner), default=0)
+    if height > NEST:
+        inner, height = [Node("text", attributes={"value": "".join(c.plain() for c in inner)})], 1
+    return Node(kind, inner, attributes or {}, height=height)
+
+
 def _emphasis(parts: list) -> list[Node]:
     """Pair the runs of marks, nearest first: two marks are strong, one is emphasis, tildes are deletion."""
     i = 0
     parts = list(parts)
+    floor: dict[str, int] = {}  # by mark: no part up to here opens
     while i < len(parts):
         closer = parts[i]
         if isinstance(closer, Node) or not closer[2]:
             i += 1
             continue
-        j = i - 1
-        while j >= 0 and (isinstance(parts[j], Node) or parts[j][0][0] != closer[0][0] or not parts[j][1] or (closer[0][0] == "~" and parts[j][0] != closer[0])):
+        mark = closer[0] if closer[0][0] == "~" else closer[0][0]
+        j, low = i - 1, floor.get(mark, -1)
+        while j > low and (isinstance(parts[j], Node) or parts[j][0][0] != closer[0][0] or not parts[j][1] or (closer[0][0] == "~" and parts[j][0] != closer[0])):
             j -= 1
-        if j < 0:
+        if j <= low:
+            floor[mark] = i - 1
             i += 1
             continue
         opener = parts[j]
         size = len(closer[0]) if closer[0][0] == "~" else 2 if len(opener[0]) >= 2 and len(closer[0]) >= 2 else 1
         kind = "delete" if closer[0][0] == "~" else "strong" if size == 2 else "emphasis"
         inner = [p if isinstance(p, Node) else Node("text", attributes={"value": p[0]}) for p in parts[j + 1 : i]]
-        new: list = [Node(kind, _joined(inner))]
+        new: list = [_over(kind, _joined(inner))]
         if len(opener[0]) > size:
             new.insert(0, (opener[0][size:], opener[1], opener[2]))
         if len(closer[0]) > size:
             new.append((closer[0][size:], closer[1], closer[2]))
         parts[j : i + 1] = new
+        floor = {k: min(v, j - 1) for k, v in floor.items()}
         i = j + len(new) - 1 if len(closer[0]) > size else j + len(new)
     return _joined([p if isinstance(p, Node) else Node("text", attributes={"value": p[0]}) for p in parts])
 

@@ -22,7 +22,7 @@ _COLUMNS = [(f.split()[0], _KINDS[f.split()[1]]) for f in FIELDS.split(", ")]
 _COPIED = ("depth", "level", "lang", "meta", "fence", "url", "alt", "title", "ident", "label", "callout", "ordered", "checked", "idx", "row", "col", "align")
 
 
-def rows_of(nodes: list[M.Node]) -> list[dict[str, Any]]:
+def rows_of(nodes: list[M.Node], markdown: bool = True) -> list[dict[str, Any]]:
     out: list[dict[str, Any]] = []
     tick = 0
 
@@ -36,7 +36,7 @@ def rows_of(nodes: list[M.Node]) -> list[dict[str, Any]]:
         value = node.attributes.get("value")
         row["value"] = value if value is not None else node.attributes.get("url") if node.kind in ("link", "image", "definition", "embed") else row["text"] if node.children else None
         row["name"] = node.attributes.get("name") or row["name"]
-        row["markdown"] = M.render(node)
+        row["markdown"] = M.render(node) if markdown else None
         for child in node.children:
             visit(child, row["pos"], top)
         row["rgt"] = tick
@@ -47,24 +47,30 @@ def rows_of(nodes: list[M.Node]) -> list[dict[str, Any]]:
     return out
 
 
-def _parsed(mdx: bool, kinds: frozenset[str] | None):
+def _parsed(mdx: bool, kinds: frozenset[str] | None, columns: list[tuple[str, pa.DataType]]):
     def run(batches):
+        markdown = any(n == "markdown" for n, _ in columns)
         for batch in batches:
             ids, rows = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                some = rows_of(M.parse(text or "", mdx))
+                some = rows_of(M.parse(text or "", mdx), markdown)
                 some = some if kinds is None else [r for r in some if r["kind"] in kinds]
                 ids += [doc] * len(some)
                 rows += some
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array([r[n] for r in rows], t) for n, t in _COLUMNS)], ["doc_id", *(n for n, _ in _COLUMNS)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array([r[n] for r in rows], t) for n, t in columns)], ["doc_id", *(n for n, _ in columns)])
 
     return run
 
 
-def parse_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mdx: bool = False, kinds: list[str] | None = None) -> DataFrame:
-    """The nodes of each document; with ``kinds`` only these leave the parser. A null text has none."""
+def parse_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mdx: bool = False, kinds: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The nodes of each document; with ``kinds`` or ``columns`` only these leave the parser. A null text has none.
+
+    Catalyst can't see into the parser, so a query says by these what it needs: without ``markdown``, nodes are not rendered.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_parsed(mdx, frozenset(kinds) if kinds else None), f"doc_id {own.schema[0].dataType.simpleString()}, {FIELDS}")
+    some = [(n, t) for n, t in _COLUMNS if columns is None or n in columns]
+    fields = ", ".join(f for f in FIELDS.split(", ") if columns is None or f.split()[0] in columns)
+    return own.mapInArrow(_parsed(mdx, frozenset(kinds) if kinds else None, some), f"doc_id {own.schema[0].dataType.simpleString()}, {fields}")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -115,6 +121,12 @@ def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
         return read_separated(spark, path, {"csv": ",", "tsv": "\t", "psv": "|"}[kind])
     if kind in ("text", "raw", "bytes", "json"):
         return {"text": read_text, "raw": read_raw, "bytes": read_bytes, "json": read_json}[kind](spark, path)
-    if kind in ("toml", "yaml", "xml", "gron"):
+    if kind in ("toml", "yaml", "xml", "gron", "toon"):
         return read_raw(spark, path).withColumn("value", F.try_parse_json(formats.to_json(kind)("value")))
+    if kind == "cbor":
+        return read_bytes(spark, path).withColumn("value", F.try_parse_json(formats.to_json(kind)("value")))
+    if kind == "html":
+        from nodeloom.sources.html import read_html
+
+        return read_html(spark, path)
     raise ValueError(f"no source of kind {kind}")
