@@ -19,15 +19,19 @@ from collections.abc import Callable
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm import arrow_words as A
 from nodeloom.llm.scratch import light_batches
 from nodeloom.llm.workers import held
 
 #: Chunks of one generation that a worker keeps, of two.
-CACHE = 250_000
+CACHE = 300_000
+#: Marks that are a piece of their own after a letter.
+_MARKS = frozenset(".,!?;:")
 _WORD_END = 0x1000
 
 
@@ -49,6 +53,9 @@ class WordBpe:
         pattern = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
+        from tokenizers import Tokenizer
+
+        self.library, self.letters = Tokenizer.from_file(path), letters
         self.special_pattern = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)))
         self.white = regex.compile(r"\p{White_Space}+")
 
@@ -167,7 +174,10 @@ class WordBpe:
 
     def plain(self, text: str, word: Callable[[bytes], list[int]]) -> list[int]:
         """The ids of a text without special entries; ``word`` gives those of a word's bytes."""
-        if not text.isascii():  # the library lowers each letter by itself: a sigma at the end of a word is none of its own
+        if not text.isascii():
+            if not text.isprintable():  # letters that Python's tables may not know yet: the library's tables cut and lower them
+                return [i for piece in self.pieces(text) for i in word(piece)]
+            # The library lowers each letter by itself: a sigma at the end of a word is none of its own.
             text = self.white.sub(" ", unicodedata.normalize("NFC", text)).replace("\u03a3", "\u03c3")
         text = text.lower()
         if text.isalpha() and text.isascii():
@@ -177,6 +187,11 @@ class WordBpe:
             out += word(piece.encode())
         return out
 
+    def pieces(self, text: str) -> list[bytes]:
+        """The words that the library's own normaliser and splitter make of a text."""
+        normal = self.library.normalizer.normalize_str(text)
+        return [bytes([self.letters[c] for c in piece]) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
     def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
         return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
@@ -187,24 +202,51 @@ class WordBpe:
             at = m.end()
         return out + self.plain(text[at:], self.word)
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, sha256 of the decimal ids with spaces between, sha256 of the decoded text)"""
-        if _UNUSUAL.search(text) or any(s in text for s in self.special):
-            n, ids, decoded = self._entry(self.whole(text))
-            return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-        chunks = text.split()
-        known = self.known
-        for w in set(chunks):
-            if w not in known:
-                known[w] = self.older.get(w) or self._entry(self.plain(w, self.word))
-        got = [e for e in map(known.__getitem__, chunks) if e[0]]
-        if len(known) > CACHE:
-            self.known, self.older = {}, known
-        return sum(e[0] for e in got), hashlib.sha256(" ".join([e[1] for e in got]).encode()).hexdigest(), hashlib.sha256(b" ".join([e[2] for e in got])).hexdigest()
+    def _new(self, word: str) -> tuple[int, str, bytes]:
+        found = self.older.get(word) or self._made(word)
+        self.known[word] = found
+        return found
+
+    def _made(self, word: str) -> tuple[int, str, bytes]:
+        if any(s in word for s in self.special):
+            return self._entry(self.whole(word))
+        if word[-1:] in _MARKS and word[-2:-1].isalpha() and (word.isascii() or word.isprintable()):
+            n, ids, decoded = self.known.get(word[:-1]) or self._new(word[:-1])
+            if n:
+                more, mark, mark_decoded = self.known.get(word[-1]) or self._new(word[-1])
+                return n + more, f"{ids} {mark}", b"%b %b" % (decoded, mark_decoded)
+        if word.isascii() and (low := word.lower()) != word and not any(s in low for s in self.special):
+            return self.known.get(low) or self._new(low)
+        return self._entry(self.plain(word, self.word))
+
+    def digests(self, texts: pa.Array) -> list[tuple[int, str, str]]:
+        """(number of ids, sha256 of the decimal ids with spaces between, sha256 of the decoded text) of each text."""
+        texts = A.plain(texts)
+        words, which, offsets = A.by_white_space(texts)
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, new = self.known.get, self._new
+        entries = [known(w) or new(w) for w in words]
+        # An entry takes a place only if it has ids: a word of marks that normalising drops has none.
+        n = np.array([e[0] for e in entries], np.int64)
+        ids, decoded = np.empty(len(entries), object), np.empty(len(entries), object)
+        ids[:], decoded[:] = [e[1] for e in entries], [e[2] for e in entries]
+        odd = pc.match_substring_regex(texts, UNUSUAL).to_pylist()
+        out = []
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            if odd[i]:
+                count, id_text, decoded_text = self._entry(self.whole(texts[i].as_py()))
+            else:
+                own = which[a:b]
+                count = n[own]
+                own, count = own[count > 0], int(count.sum())
+                id_text, decoded_text = " ".join(ids[own].tolist()), b" ".join(decoded[own].tolist())
+            out.append((count, hashlib.sha256(id_text.encode()).hexdigest(), hashlib.sha256(decoded_text).hexdigest()))
+        return out
 
 
 #: Python takes these for white space and Unicode does not.
-_UNUSUAL = re.compile("[\x1c-\x1f]")
+UNUSUAL = "[\x1c-\x1f]"
 
 
 def vocabulary(path: str) -> WordBpe:
@@ -215,10 +257,10 @@ def vocabulary(path: str) -> WordBpe:
 def _digests(path: str):
     def run(batches):
         bpe = vocabulary(path)
-        for batch in batches:
-            rows = [bpe.digest(t or "") for t in batch.column(1).to_pylist()]
+        for part in A.slices(batches):
+            rows = bpe.digests(part.column(1))
             columns = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -226,10 +268,10 @@ def _digests(path: str):
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text, encoded and decoded.
 
-    Null and empty texts have no ids. Each row stands for itself: null and repeated ids pass through, other columns don't.
+    Null and empty texts have no ids; bytes that are no UTF-8 count as U+FFFD. Each row stands for itself: null and repeated ids pass through, other columns don't.
     """
     light_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
     return rows.mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -245,7 +287,7 @@ def _encoded(path: str):
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of each text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
     return rows.mapInArrow(_encoded(path), "doc_id long, ids array<int>")
 
 
