@@ -14,9 +14,11 @@ _owner: list[str | None] = [None]
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the setting is absent, as in tests."""
+    """The shared folder of the session; a temporary one only where the setting is absent and all work is in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="nodeloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -28,12 +30,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once and read it back: later plans start at the files and outlive lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from nodeloom.llm import arrow_words as A
 from nodeloom.llm.scratch import light_batches, new_path, partitions, save
-from nodeloom.llm.tokens import WordEncoder, encoder
+from nodeloom.llm.tokens import WordEncoder, encoder, with_end
+from nodeloom.llm.workers import trim
 
-MAX_BITS, STEP, BLOCK = 20, 512, 1 << 18
+MAX_BITS, STEP, BLOCK = 20, 128, 1 << 18
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -88,12 +90,10 @@ class Code:
         begin = np.concatenate([[0], np.cumsum(np.int64(1) << (self.limit - n))])
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[order] = (begin[:-1] >> (self.limit - n)).astype(np.uint64)
-        self.table_id = np.repeat(order, np.int64(1) << (self.limit - n)).astype(np.int32)
-        self.table_length = np.repeat(n, np.int64(1) << (self.limit - n))
-        short = (1 << self.limit) - len(self.table_id)
-        if short:  # a code of one symbol leaves half of the table unused
-            self.table_id = np.concatenate([self.table_id, np.zeros(short, np.int32)])
-            self.table_length = np.concatenate([self.table_length, np.ones(short, np.int64)])
+        # An entry is an id and, in its lowest five bits, its length. A code of one symbol leaves half of the table unused.
+        self.table = np.ones(1 << self.limit, np.uint64)
+        self.table[: begin[-1]] = np.repeat(order.astype(np.uint64) << np.uint64(5) | n.astype(np.uint64), np.int64(1) << (self.limit - n))
+        self.table = self.table.astype(np.uint32) if len(lengths) < 1 << 27 else self.table
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """(bits, stops)"""
@@ -114,8 +114,8 @@ class Code:
 
     def decode(self, bits: bytes, stops: np.ndarray, n: int) -> np.ndarray:
         words = np.frombuffer(bits, ">u8").astype(np.uint64)
-        out, at = np.zeros((len(stops), STEP), np.uint32), stops.astype(np.int64)
-        full, mask = len(stops) - 1, np.int64((1 << self.limit) - 1)
+        out, at = np.zeros((STEP, len(stops)), np.uint32), stops.astype(np.int64)
+        full = len(stops) - 1
         for i in range(STEP):
             if full >= 0 and full * STEP + i >= n:  # the last stretch is shorter
                 at = at[:full]
@@ -123,35 +123,35 @@ class Code:
                     break
             word, shift = at >> 6, (at & 63).astype(np.uint64)
             ahead = words[word] << shift | (words[word + 1] >> np.uint64(1)) >> (np.uint64(63) - shift)
-            key = (ahead >> np.uint64(64 - self.limit)).astype(np.int64) & mask
-            out[: len(at), i] = self.table_id[key]
-            at = at + self.table_length[key]
-        return out.ravel()[:n]
+            entry = self.table[(ahead >> np.uint64(64 - self.limit)).astype(np.int64)]
+            out[i, : len(at)] = entry >> 5
+            at = at + (entry & 31)
+        return out.T.ravel()[:n]
 
 
-def _ids(path: str, end: int):
-    """Rows with packed 16-bit ids of their text in place of it, and the number of ids before them in the partition."""
+def id_kind(size: int) -> str:
+    """How the ids of a vocabulary of this size are packed between steps."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _ids(path: str, end: int, kind: str):
+    """Rows with the packed ids of their text in place of it."""
 
     def run(batches):
-        words, tail, start = encoder(WordEncoder, path), np.array([end], "<u4").tobytes(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                packed = [np.frombuffer(p + tail, "<u4").astype("<u2") for p in words.encode([t or "" for t in part.column(1).to_pylist()])]
-                ends = start + np.cumsum([len(p) for p in packed])
-                begins = np.concatenate([[start], ends[:-1]])
-                start = int(ends[-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(begins), pa.array([p.tobytes() for p in packed], pa.binary())], ["doc_id", "start", "ids"])
+        words = encoder(WordEncoder, path)
+        for part in A.slices(batches):
+            ids, offsets = with_end(*words.flat(part.column(1)), end)
+            yield pa.RecordBatch.from_arrays([part.column(0), A.packed_column(ids.astype(kind), offsets)], ["doc_id", "ids"])
+        trim()
 
     return run
 
 
-def _count(size: int):
+def _count(size: int, kind: str):
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(packed, "<u2"), minlength=size)
+            total += np.bincount(A.packed_values(batch.column(0), kind)[0], minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
@@ -161,32 +161,33 @@ def _count(size: int):
 _BLOCKS = "file int, first long, docs binary, sizes binary, n long, bits binary, stops binary"
 
 
-def _blocks(lengths: np.ndarray):
-    """Blocks of documents that follow each other in a file."""
+def _blocks(lengths: np.ndarray, kind: str):
+    """Blocks of documents that follow each other in a file, each of BLOCK ids and the rest of its last document."""
 
     def run(batches):
         code = Code(lengths)
-        file, first, docs, ids, held = -1, 0, [], [], 0
+        file, first, docs, sizes, ids, held = -1, 0, [], [], [], 0
 
         def flush():
-            values = np.concatenate(ids).astype(np.int64)
-            bits, stops = code.encode(values)
-            sizes = np.array([len(i) for i in ids], np.int64)
-            return pa.RecordBatch.from_pylist([{"file": file, "first": first, "docs": np.array(docs, np.int64).tobytes(), "sizes": sizes.tobytes(), "n": len(values), "bits": bits, "stops": stops.astype(np.int64).tobytes()}], _SCHEMA)
+            bits, stops = code.encode(np.concatenate(ids).astype(np.int64))
+            return pa.RecordBatch.from_pylist([{"file": file, "first": first, "docs": np.concatenate(docs).tobytes(), "sizes": np.concatenate(sizes).tobytes(), "n": held, "bits": bits, "stops": stops.astype(np.int64).tobytes()}], _SCHEMA)
 
         for batch in batches:
-            for doc, start, packed, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if held and (part != file or start != first + held):
-                    yield flush()
-                    docs, ids, held = [], [], 0
-                if not held:
-                    file, first = part, start
-                docs.append(doc if doc is not None else _NULL)
-                ids.append(np.frombuffer(packed, "<u2"))
-                held += len(ids[-1])
+            if not batch.num_rows:
+                continue
+            values, offsets = A.packed_values(batch.column(1), kind)
+            own, n = batch.column(0).fill_null(_NULL).to_numpy(), np.diff(offsets)
+            file, at = batch.column(2)[0].as_py(), 0
+            while at < len(own):
+                to = int(np.searchsorted(offsets, offsets[at] + BLOCK - held))
+                to = min(max(to, at + 1), len(own))
+                docs.append(own[at:to])
+                sizes.append(n[at:to])
+                ids.append(values[offsets[at] : offsets[to]])
+                held, at = held + len(ids[-1]), to
                 if held >= BLOCK:
                     yield flush()
-                    docs, ids, held = [], [], 0
+                    first, docs, sizes, ids, held = first + held, [], [], [], 0
         if held:
             yield flush()
 
@@ -200,22 +201,25 @@ _SCHEMA = pa.schema([("file", pa.int32()), ("first", pa.int64()), ("docs", pa.bi
 def write(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1) -> None:
     """Write the ids of every text, each with ``end`` after it, to ``path``/blocks and the code to ``path``/code.
 
-    Files are in ascending order of the ids of documents: a null id first, equal ids in any order. Null and empty texts have
-    the one id ``end``.
+    Files are in ascending order of the ids of documents: a null id first, equal ids by their contents. Null and empty texts have
+    the one id ``end``. Bytes of a text that are no UTF-8 count as U+FFFD.
     """
     spark = docs.sparkSession
     light_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    files = max(partitions(spark), 1)
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_ids(vocabulary, end), "doc_id long, start long, ids binary")
-    ids = save(ordered.withColumn("file", F.spark_partition_id()), "ids")
     size = encoder(WordEncoder, vocabulary).tokenizer.get_vocab_size()
+    kind = id_kind(max(size, end + 1))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
+    ids = save(rows.mapInArrow(_ids(vocabulary, end, kind), "doc_id long, ids binary"), "ids", "zstd")
+    size = max(size, end + 1)
     counts = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(_count(size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ids.select("ids").mapInArrow(_count(size, kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary
         counts[r.id] = r.n
     lengths = code_lengths(counts)
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
-    ids.select("doc_id", "start", "ids", "file").mapInArrow(_blocks(lengths), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    # A file is a range of ids; where one id has very many rows they are parted by their contents.
+    order = ["doc_id", F.xxhash64("ids")]
+    ordered = ids.repartitionByRange(max(partitions(spark), 1), *order).sortWithinPartitions(*order).withColumn("file", F.spark_partition_id())
+    ordered.mapInArrow(_blocks(lengths, kind), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _read(lengths: np.ndarray, checks: bool):

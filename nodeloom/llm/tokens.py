@@ -2,7 +2,7 @@
 
 Both vocabularies split a text before they merge, so the ids of a text are those of its words in order, as long as the cuts are
 where the library cuts too; a word that is new is merged by rank. Texts in which the cuts can't be told, and words whose
-merges are not beyond doubt, go to the library itself.
+merges or letters are not beyond doubt, go to the library itself.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from nodeloom.llm.bpe import WordBpe, byte_letters
+from nodeloom.llm import arrow_words as A
+from nodeloom.llm.bpe import UNUSUAL, WordBpe, byte_letters
 from nodeloom.llm.workers import held
 
 #: Words of one generation that a worker keeps, of two.
-CACHE = 400_000
-#: Python takes these for white space and Unicode does not.
-_UNUSUAL = "\x1c\x1d\x1e\x1f"
+CACHE = 300_000
 
 
 class _Words(dict):
@@ -59,8 +60,43 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def odd(self, text: str) -> bool:
-        return any(s in text for s in self.special) or any(c in text for c in _UNUSUAL)
+    def doubtful(self, word: str) -> bool:
+        """Whether a word has a special entry in it, or letters of which Python's tables may be older than the library's."""
+        return any(s in word for s in self.special) or not (word.isascii() or word.isprintable())
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and the texts' offsets among them."""
+        texts = A.plain(texts)
+        ids, offsets, odd = self._by_words(texts)
+        if not len(odd):
+            return ids, offsets
+        parts, at = [], 0
+        sizes = np.diff(offsets)
+        for row in odd.tolist():
+            own = np.frombuffer(self.whole(texts[row].as_py()), "<u4")
+            parts += [ids[at : offsets[row]], own]
+            at, sizes[row] = offsets[row + 1], len(own)
+        return np.concatenate([*parts, ids[at:]]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, offsets = self.flat(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and offsets, and the rows that are to go to the library."""
+        raise NotImplementedError
+
+
+def _joined(packed: list[bytes], which: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of rows from those of their words."""
+    n = np.array([len(p) for p in packed], np.int64) // 4
+    places, ends = A.gathered(np.cumsum(n) - n, n, which)
+    return np.frombuffer(b"".join(packed), "<u4")[places], np.concatenate([[0], ends])[offsets]
+
+
+def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's ids with ``end`` after them."""
+    return np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -97,7 +133,11 @@ class WordEncoder(Encoder):
         self.words = _Words(self._new)
 
     def _new(self, word: str) -> bytes:
-        low = word.replace("\u03a3", "\u03c3").lower()
+        if not word:
+            return b""
+        if self.doubtful(word):
+            return self.whole(word)
+        low = word.replace("Σ", "σ").lower()
         if low[-1] in ".,!?;:" and len(low) > 1 and low[-2].isalpha():
             return self.words[word[:-1]] + self.words[word[-1]]
         if low.isalpha() and (low.isascii() or unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)):
@@ -108,10 +148,11 @@ class WordEncoder(Encoder):
         plain = self.plain
         return self.merge(b"".join([plain[b] for b in data[:-1]]) + self.final[data[-1]])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self.words.turn()
-        get = self.words.__getitem__
-        return [self.whole(t) if self.odd(t) else b"".join(map(get, t.split())) for t in texts]
+        words, which, offsets = A.by_white_space(texts)
+        odd = np.flatnonzero(pc.match_substring_regex(texts, UNUSUAL).to_numpy(zero_copy_only=False))
+        return *_joined(list(map(self.words.__getitem__, words)), which, offsets), odd
 
 
 class ByteEncoder(Encoder):
@@ -126,25 +167,34 @@ class ByteEncoder(Encoder):
         import tiktoken
 
         self.ranked = tiktoken.Encoding("bytes", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
-        one = lambda w: _packed(self.ranked.encode_ordinary(w))
-        self.first, self.rest, self.line = _Words(one), _Words(lambda w: one(" " + w)), one("\n")
+        self.first, self.rest = _Words(lambda w: self._new("", w)), _Words(lambda w: self._new(" ", w))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _new(self, before: str, word: str) -> bytes:
+        """The ids of a word with the space before it, if any; none for a word that is no word, which makes its row odd."""
+        if word == "\n":
+            return _packed(self.ranked.encode_ordinary(word))
+        if word.split() != [word]:
+            return b""
+        return self.whole(before + word) if self.doubtful(word) else _packed(self.ranked.encode_ordinary(before + word))
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self.first.turn()
         self.rest.turn()
-        first, rest, out = self.first.__getitem__, self.rest.__getitem__, []
-        for t in texts:
-            if not t:
-                out.append(b"")
-            elif self.odd(t) or len(t.split()) != t.count(" ") + t.count("\n") + 1:  # white space other than one space or line end between words
-                out.append(self.whole(t))
-            else:
-                lines = []
-                for line in t.split("\n"):
-                    words = line.split(" ")
-                    lines.append(first(words[0]) + b"".join(map(rest, words[1:])))
-                out.append(self.line.join(lines))
-        return out
+        words, which, offsets = A.by_spaces(texts)
+        begins_line = np.zeros(len(which), bool)
+        begins_line[offsets[:-1][offsets[:-1] < len(which)]] = True
+        if "\n" in words:
+            begins_line[1:] |= which[:-1] == words.index("\n")
+        which = 2 * which + begins_line
+        there = np.zeros(2 * len(words), bool)
+        there[which] = True
+        first, rest = self.first.__getitem__, self.rest.__getitem__
+        packed = [b""] * (2 * len(words))
+        for i in np.flatnonzero(there).tolist():
+            packed[i] = (first if i & 1 else rest)(words[i >> 1])
+        bad = np.array([not p for p in packed])[which]
+        odd = np.unique(np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1)
+        return *_joined(packed, which, offsets), odd
 
 
 def encoder(kind: type[Encoder], path: str) -> Encoder:

@@ -8,6 +8,8 @@ import gc
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[tuple, Any] = {}
 
 
@@ -30,5 +32,6 @@ def free() -> None:
 def trim() -> None:
     """Give freed memory back to the system; the C library keeps it otherwise, for as long as the worker lives."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
