@@ -20,31 +20,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from nodeloom.llm import arrow_words as A
 from nodeloom.llm.scratch import light_batches, save
-from nodeloom.llm.tokens import ByteEncoder, encoder
+from nodeloom.llm.tokens import ByteEncoder, encoder, with_end
+from nodeloom.llm.workers import trim
 
-CAPACITY, BUCKETS = 2048, 64
-
-
-def cut(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces; only the first may be shorter than the capacity."""
-    first = len(ids) % capacity or capacity
-    return [(0, first), *((at, capacity) for at in range(first, len(ids), capacity))]
+#: Tokens of a sequence, and pieces of one length that a task ranks at once.
+CAPACITY, BUCKET = 2048, 1 << 12
 
 
 def _pieces(path: str, capacity: int):
     def run(batches):
         words = encoder(ByteEncoder, path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                rows = []
-                for doc, packed in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids = packed + b"\0\0\0\0"
-                    for i, (start, n) in enumerate(cut(np.frombuffer(ids, "<u4"), capacity)):
-                        rows.append((doc, i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
-                columns = list(zip(*rows)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for part in A.slices(batches):
+            ids, offsets = with_end(*words.flat(part.column(1)), 0)
+            sizes = np.diff(offsets)
+            n = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            end = sizes[row] - (n[row] - 1 - piece) * capacity
+            start = np.maximum(end - capacity, 0)
+            data, base = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), offsets[row]
+            checks = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((base + start).tolist(), (base + end).tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start), pa.array(checks, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return run
 
@@ -97,19 +96,21 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     A document's ids end with a 0, so null and empty texts are pieces of length 1. Documents with over ``capacity`` ids are
     cut so that only their first piece is shorter. A sequence's pieces follow each other from offset 0 without gaps. Repeated
-    rows are packed as often as they are there; ties of length are placed by id. Other columns are ignored.
+    rows are packed as often as they are there. Bytes of a text that are no UTF-8 count as U+FFFD. Other columns are ignored.
     """
     light_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = texts.mapInArrow(_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    pieces = save(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS))), "pieces")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
+    pieces = save(texts.mapInArrow(_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    # At most a row for each length. A length has buckets of about BUCKET pieces, so the most common one is dealt over many.
+    totals = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = docs.sparkSession.createDataFrame([(n, -(-m // BUCKET)) for n, m in totals.items()], "length long, buckets long")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets")
+    pieces = pieces.join(F.broadcast(parts), "length").withColumn("bucket", bucket).drop("buckets")
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")
     counts = save(counts.withColumn("before", before), "lengths")
-    totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rules = sweep(totals, capacity)
     within = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
-    # At most capacity * BUCKETS rows of 24 bytes.
-    ranked = pieces.withColumn("within", within).join(F.broadcast(counts.drop("n")), ["length", "bucket"])
+    ranked = pieces.withColumn("within", within).join(counts.drop("n"), ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("within") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(_place(rules), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
