@@ -12,7 +12,7 @@ import functools
 import html
 import random
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from nodeloom.llm.scratch import light_batches
 
 #: Pages that training makes, its steps, and the strength of the prior.
-PAGES, STEPS, PRIOR = 400, 250, 1e-3
+PAGES, STEPS, PRIOR = 900, 300, 5e-5
 
-_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-_RAW = frozenset("script style noscript template iframe object svg math textarea canvas".split())
+_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+#: Elements without text for readers; those of the first kind run to the end of the page if nothing closes them.
+_TO_END, _RAW = frozenset("script style textarea".split()), frozenset("script style textarea template iframe svg canvas".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -54,26 +55,32 @@ class Block:
     tag: str
     ancestors: frozenset[str]
     link_share: float
-    marks: dict[str, bool] = field(default_factory=dict)
+    own: frozenset[str] = frozenset()
 
 
 @functools.lru_cache(1 << 14)
 def _hints(tag: str, attributes: str) -> frozenset[str]:
-    """Of one element: its tag, what its class, id and role tell, and whether it is hidden."""
-    out = {tag}
+    """Of one element: its tag, what its class, id and role tell, and whether it is hidden.
+
+    Words of html and body name themes and layouts, and tell nothing of a block; those of article and main are marked as such.
+    """
+    out = {tag, "?notice"} if tag == "noscript" else {tag}
+    if tag in ("html", "body"):
+        return frozenset(out)
+    mark = "!" if tag in ("article", "main") else "?"
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             out.add("?hidden")
         elif name in ("class", "id", "role"):
-            out.update("?" + _HINT_OF[w] for w in map(str.lower, _WORD.findall(value)) if w in _HINT_OF)
+            out.update(mark + _HINT_OF[w] for w in map(str.lower, _WORD.findall(value)) if w in _HINT_OF)
     return frozenset(out)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order; scripts, styles, comments and what stands in the head are not among them."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, frozenset[str], frozenset[str]]] = []  # tag, its and its ancestors' hints, its own
     held: list[str] = []
     state = {"link": 0, "all": 0, "in_link": 0, "head": False}
 
@@ -88,8 +95,8 @@ def blocks(page: str) -> list[Block]:
     def close() -> None:
         joined = " ".join("".join(held).split())
         if joined:
-            above = stack[-1][1] if stack else frozenset()
-            out.append(Block(joined, stack[-1][0] if stack else "", above, state["link"] / max(1, state["all"])))
+            tag, above, own = stack[-1] if stack else ("", frozenset(), frozenset())
+            out.append(Block(joined, tag, above, state["link"] / max(1, state["all"]), own))
         held.clear()
         state["link"] = state["all"] = 0
 
@@ -121,7 +128,7 @@ def blocks(page: str) -> list[Block]:
         if tag in _RAW:
             if not m.group(3).endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = end.end() if end else n if tag in _TO_END else at
             held.append(" ")
         elif tag == "title":
             end = re.compile(r"</title\s*>", re.I).search(page, at)
@@ -148,12 +155,12 @@ def blocks(page: str) -> list[Block]:
                         break
             if tag not in _VOID:
                 own = _hints(tag, m.group(3))
-                stack.append((tag, (stack[-1][1] | own) if stack else own))
+                stack.append((tag, (stack[-1][1] | own) if stack else own, own))
     close()
     return out
 
 
-FEATURES = [*_ANCESTORS, *("?" + k for k in _HINTS), "?hidden", "heading", "in_article_or_main", "links_some", "links_most", "len20", "len60", "len150", "len400", "ends", "comma", "copyright", "first", "last", "no_container", "bias"]
+FEATURES = [*_ANCESTORS, *("?" + k for k in _HINTS), *("!" + k for k in _HINTS), *("own?" + k for k in _HINTS), "?hidden", "heading", "in_article_or_main", "links_some", "links_most", "len20", "len60", "len150", "len400", "ends", "comma", "copyright", "first", "last", "no_container", "bias"]
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 
@@ -162,7 +169,7 @@ def features(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), len(FEATURES)))
     has_container = any("article" in b.ancestors or "main" in b.ancestors for b in page)
     for i, b in enumerate(page):
-        on = [f for f in b.ancestors if f in _AT]
+        on = [f for f in (*b.ancestors, *("own" + h for h in b.own)) if f in _AT]
         size = len(b.text)
         on += [f"len{k}" for k in (20, 60, 150, 400) if size >= k]
         if b.tag in _HEADINGS:
@@ -308,7 +315,7 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, list[str]]]:
             out.append(f"<{tag}>{inner or text}" + (f"</{tag}>" if closed else ""))
             main.append(" ".join(text.split()))
 
-        if rnd.random() < 0.85:
+        if rnd.random() < 0.75:
             add("h1", words(1, 10))
             if rnd.random() < 0.2:
                 out[-1] = f"<header>{out[-1]}</header>"
@@ -344,21 +351,25 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, list[str]]]:
         before = [rest(k) for k in ("notice", "head", "menu", "side", "ad", "form", "other") if rnd.random() < 0.45]
         after = [rest(k) for k in ("comment", "side", "ad", "form", "notice", "foot", "other") if rnd.random() < 0.4]
         rnd.shuffle(before)
+        if rnd.random() < 0.15:  # little or nothing around the text
+            before, after = before[: rnd.randint(0, 1)], after[: rnd.randint(0, 1)]
         inner, main = body()
         if rnd.random() < 0.25:
             inner = f"<section>{inner}</section>"
         kind = rnd.random()
-        if kind < 0.5:
-            inner = f"<article>{inner}</article>"
-        elif kind < 0.6:
-            inner = f"<main>{inner}</main>"
-        elif kind < 0.7:
-            inner = f"<main><article>{inner}</article></main>"
-        elif kind < 0.9:
+        # Names of what holds an article may have words in them that tell of something else.
+        noise = lambda: f' class="{" ".join(rnd.choice(_HINTS[rnd.choice(list(_HINTS))].split()) + rnd.choice(["", "-free", "-on", "able"]) for _ in range(rnd.randint(1, 3)))}"' if rnd.random() < 0.35 else ""
+        if kind < 0.37:
+            inner = f"<article{noise()}>{inner}</article>"
+        elif kind < 0.45:
+            inner = f"<main{noise()}>{inner}</main>"
+        elif kind < 0.52:
+            inner = f"<main{noise()}><article{noise()}>{inner}</article></main>"
+        elif kind < 0.87:
             inner = f"<div {named('main')}>{inner}</div>"
-        elif kind < 0.95:
+        elif kind < 0.94:
             inner = f"<div>{inner}</div>"
-        page = f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{''.join(before)}{inner}{''.join(after)}"
+        page = f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body{noise()}>{''.join(before)}{inner}{''.join(after)}"
         pages.append((page + rnd.choice(["</body></html>", ""]), main))
     return pages
 
