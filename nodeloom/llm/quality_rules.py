@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm import hashing as H
@@ -17,10 +17,8 @@ from nodeloom.llm import textstats as T
 from nodeloom.llm.scratch import light_batches, save
 from nodeloom.llm.workers import held, trim
 
-#: Words whose tokens a worker keeps; a group with fewer documents is judged by the band of its script, then by that of all.
-CACHE, GROUP = 200_000, 30
-#: Groups up to which their bands are broadcast.
-FEW = 20_000
+#: Words whose tokens a worker keeps, and rows of a wider group that each group counts as its own.
+CACHE, PRIOR = 200_000, 10
 #: Widths of a band: so many spreads between the quartiles below and above them, and this much at least. Junk takes more tokens a
 #: character and repeats them, so it lies on the low side of both measures; the high side is for what is unlike everything else.
 SPREADS = {"chars_per_token": (2.0, 3.0), "byte_share": (3.0, 3.0), "entropy": (1.5, 3.0)}
@@ -107,16 +105,17 @@ def _measure(path: str, column: int):
     return run
 
 
-def _bands(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Limits of each measure by group, from the quartiles of all its rows that pass the fixed limits."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 2000).alias(m) for m in FLOORS]
-    groups = rows.where("not base_failed").groupBy(*keys).agg(F.count("*").alias("n"), *quartiles).where(f"n >= {GROUP}")
-    out = []
-    for m, floor in FLOORS.items():
-        low, high = F.col(m)[0], F.col(m)[1]
-        below, above = (F.greatest(n * (high - low), F.lit(floor)) for n in SPREADS[m])
-        out += [(low - below).alias(f"{m}_low"), (high + above).alias(f"{m}_high")]
-    return groups.select(*keys, F.struct(*out).alias("band"))
+def _quartiles(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Number of rows that pass the fixed limits and quartiles of each measure, by group; exact, of measures to three places."""
+    quartiles = [F.percentile(F.round(m, 3), [0.25, 0.75]).alias(m) for m in FLOORS]
+    return rows.where("not base_failed").groupBy(*keys).agg(F.struct(F.count("*").alias("n"), *quartiles).alias(name))
+
+
+def _toward(own: Column, wider: Column, m: str, i: int) -> Column:
+    """A group's quartile, drawn toward that of the wider group, if there is one, as PRIOR rows of it would draw it."""
+    mine = F.coalesce(own["n"], F.lit(0))
+    drawn = (mine * own[m][i] + PRIOR * wider) / (mine + PRIOR)
+    return F.coalesce(drawn, own[m][i], wider)
 
 
 def judge(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", keep_text: bool = True) -> DataFrame:
@@ -124,8 +123,9 @@ def judge(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
 
     base_failed: under 20 words, or over 30 per cent of the words in 8-word windows that the text has twice or more. kept: not
     base_failed and within the bands of characters per token, share of byte fallback and token entropy (a share of the most
-    that so many tokens can have) of texts of this language, script and length; of the script where these are few; of
-    all texts where those are. Where all are few no band rejects.
+    that so many tokens can have) of texts of this language, script and length. A group's quartiles are drawn toward those of its
+    script and length, these toward those of its script, and these toward those of all texts, the more the fewer its texts are.
+    Results don't depend on how rows are parted.
 
     A null text has no words. A null language is a group of its own. Repeated rows count as often as they are there. Columns
     named like a measure are replaced.
@@ -142,15 +142,16 @@ def judge(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     rows = rows.withColumns({"base_failed": failed, "__size": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1))))})
     rows = save(rows, "measures")
-    # Groups are languages by scripts by lengths. They are few unless languages are many; only few are broadcast.
-    fine = save(_bands(rows, ["__lang", "script", "__size"]).withColumnRenamed("band", "fine"), "bands")
-    fine = F.broadcast(fine) if fine.count() <= FEW else fine
-    rough = F.broadcast(_bands(rows, ["script"]).withColumnRenamed("band", "rough"))  # a row for each of _SCRIPTS at most
-    every = _bands(rows.withColumn("__all", F.lit(1)), ["__all"]).select("band.*").first()
-    every = F.struct(*[F.lit(v).alias(k) for k, v in every.asDict().items()]) if every else F.lit(None)
-    rows = rows.join(fine, ["__lang", "script", "__size"], "left").join(rough, "script", "left").withColumn("band", F.coalesce("fine", "rough", every))
-    within = F.lit(True)
-    for m in FLOORS:
-        within = within & F.col(m).between(F.col(f"band.{m}_low"), F.col(f"band.{m}_high"))
-    kept = ~F.col("base_failed") & F.coalesce(within, F.lit(True))
-    return rows.withColumn("kept", kept).drop("fine", "rough", "band", "__lang", "__size")
+    # Groups are languages by scripts by lengths; Spark broadcasts their bands if the table is small, and joins by key if not.
+    groups = {"__every": ["__all"], "__rough": ["script"], "__sized": ["script", "__size"], "__fine": ["__lang", "script", "__size"]}
+    rows = rows.withColumn("__all", F.lit(1))
+    joined, within = rows, F.lit(True)
+    for name, keys in groups.items():
+        joined = joined.join(save(_quartiles(rows, keys, name), "bands"), keys, "left")
+    for m, floor in FLOORS.items():
+        low, high = (F.lit(None), F.lit(None))
+        for name in groups:
+            low, high = (_toward(F.col(name), wider, m, i) for i, wider in ((0, low), (1, high)))
+        below, above = (F.greatest(n * (high - low), F.lit(floor)) for n in SPREADS[m])
+        within = within & F.col(m).between(low - below, high + above)
+    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("__lang", "__size", "__all", *groups)
