@@ -1,5 +1,7 @@
 """Pages, vectors, conversations and the pipeline."""
 
+import itertools
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,15 @@ def test_html_blocks_and_field():
     assert wrong <= 0.03 * total
 
 
+def test_viterbi_finds_the_best_of_all_labels():
+    rng = np.random.default_rng(3)
+    for n in range(1, 9):
+        field = html_extract.Field(rng.normal(size=5), rng.normal(size=(2, 2)))
+        x = rng.normal(size=(n, 5))
+        score = lambda y: sum((x[i] @ field.weights) * y[i] for i in range(n)) + sum(field.steps[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        assert field.decode(x).tolist() == list(max(itertools.product((0, 1), repeat=n), key=score))
+
+
 def test_html_page():
     page = "<html><head><title>x</title></head><body><nav><ul><li><a href=/>home</a></ul></nav><div class=cookie-notice>We use cookies.</div><article><h1>A &amp; B</h1><p>First  para,\nwith <b>bold<br>text</p><p>Second &lt;one&gt; of them.<script>var a='<p>no</p>'</script></p><div class='ad'>Buy now.</div></article><section id=comments><p>I like it.</p></section><footer>&copy; x</footer>"
     assert html_extract.extract(page, html_extract.trained()) == "A & B\n\nFirst para, with bold text\n\nSecond <one> of them."
@@ -42,7 +53,7 @@ def test_rows_of_one_cell_have_keys_of_their_own():
     near = np.ones((1000, 16)) + np.random.default_rng(1).normal(size=(1000, 16)) * 1e-9
     batch = pa.table({"vec_id": np.arange(1000), "v": near.tolist()}).to_batches()[0]
     (got,) = ann._keys(1, 3, 10)([pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(1000), pa.nulls(1000)], ["vec_id", "v", "ids", "asks"])])
-    key = got.column("key").to_numpy()
+    key = got.column("keys").flatten().to_numpy()
     assert len(np.unique(key)) > 990 and len(np.unique(key >> 20)) <= 8 and 0 <= key.min() and key.max() < 1 << 52
 
 
@@ -74,6 +85,39 @@ def test_neighbours_recall(spark, slab):
     assert hits >= (0.9 if slab == 64 else 1) * 20 * len(want)
 
 
+def clustered(n, seed=2):
+    """Vectors in tight clusters, where orders keep neighbours together."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 50, 16))
+    return [(i, (centres[i % len(centres)] + 0.05 * rng.normal(size=16)).tolist()) for i in range(n)]
+
+
+def test_plans_meet_few_rows_of_clustered_vectors(spark, monkeypatch):
+    plans, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: plans.append((fit(*a), a[2])) or plans[-1][0])
+    for rows, cheap in ((clustered(4000), True), (vectors(2000), False)):
+        rows = [(i, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v in rows]
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", slab=64).collect()
+        want, found = exact(rows, 20), {}
+        for r in got:
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert sum(len(set(want[q]) & found[q]) for q in want) >= 0.9 * 20 * len(want)
+        (curves, reach), slabs = plans[-1]
+        assert (curves * (2 * reach + 1) <= slabs / 2) == cheap
+
+
+def test_queries_of_a_slab_come_in_chunks(spark, monkeypatch):
+    rows = vectors(700)
+    monkeypatch.setattr(ann, "QUERIES", 10)
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", slab=64, plan=(1, 99)).collect()
+    narrow = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", slab=64, plan=(1, 4)).collect()
+    want, found = exact(rows, 20), {}
+    for r in got:
+        found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert all([found[q][i] for i in range(1, 21)] == want[q] for q in want)
+    assert 0.5 < sum(r.vec_id in want[r.query_id] for r in narrow) / len(narrow) < 1 and len(narrow) == len(got)
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (20, [0.5, 0.5]), (None, [1.0, 1.0]), (6, [1.0]), (7, [float("inf"), 0.0]), (1, [1.0, 0.0])]
@@ -87,7 +131,8 @@ def test_neighbours_of_equal_vectors(spark):
     rows = vectors(600)
     hot = rows[7][1]
     rows += [(1000 + 7 * i % 400, hot) for i in range(400)]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), "vec_id % 20 = 0").collect()
+    clashing = spark.createDataFrame([(*r, 0, 0.5, True) for r in rows], "vec_id long, embedding array<double>, rank int, score double, asks boolean")
+    got = ann.search(clashing.repartition(4), "vec_id % 20 = 0").collect()
     found = {}
     for r in got:
         found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
@@ -137,3 +182,39 @@ def test_pipeline(spark, sf):
 
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_stages_take_odd_rows(spark, sf):
+    """Null and empty texts, null and shared ids, copies, other columns and empty tables pass through every stage."""
+    import corpus_pipeline as C
+
+    words = [f"w{i} is{i % 7} a{i % 5} word{i}" for i in range(60)]
+    long, other = " ".join(words), " ".join(reversed(words))
+    rows = [(1, None), (2, ""), (3, long), (4, long), (5, long), (5, other), (None, other), (None, long), (None, None), (6, "x " * 9000), (7, other + " more"), (5, "alone " + " ".join(f"q{i}" for i in range(50)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2.0, "z") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int, score double, key string")
+    for _, stage in C.STAGES[:4]:
+        assert stage(spark, docs, sf).columns == C.COLUMNS
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    left = sorted(((r.doc_id, r.text) for r in C.near_copies(spark, docs, sf).collect()), key=str)
+    assert left == sorted([(1, None), (2, ""), (3, long), (None, None), (6, "x " * 9000), (7, other + " more"), rows[-1]], key=str)
+    cut = C.passages(spark, docs, sf).collect()
+    assert len(cut) == len(rows) and {r.text for r in cut if r.doc_id in (1, 2, 3)} == {""}
+    packed = C.sequences(spark, docs, sf).collect()
+    assert len({r.doc_id for r in packed}) == 8 and sum(r.piece == 0 for r in packed) == len(rows)
+
+
+def test_html_names_of_containers_do_not_outweigh_their_text(spark):
+    """Noisy names on true containers and bodies, adverts inside plain ones, unclosed elements, formulas, very long and nested pages."""
+    model = html_extract.trained()
+    noisy = "<body class='home has-sidebar'><nav><ul><li><a href=/>home</a></ul></nav><article class='social-post comment-free'><h1>Title here</h1><p>One paragraph of text.</p><p>Another, which is longer than the first.</p></article><footer>Imprint</footer>"
+    assert html_extract.extract(noisy, model) == "Title here\n\nOne paragraph of text.\n\nAnother, which is longer than the first."
+    plain = "<header>Site</header><div class='post-body'><p>Short one here.</p><div class='ad'>Buy this now.</div><p>Short two.</p></div><footer>Imprint</footer>"
+    assert html_extract.extract(plain, model) == html_extract.extract(plain.replace("<div class='ad'>Buy this now.</div>", ""), model) == "Short one here.\n\nShort two."
+    assert html_extract.extract("<article><h1>F</h1><p>Let <math><mi>x</mi></math> be <svg><path> small.</p></article>", model) == "F\n\nLet x be small."
+    assert html_extract.extract("<article><p>Before the script.</p><script>var a = '<p>no</p>'", model) == "Before the script."
+    long = "<article><h1>L</h1>" + "".join(f"<p>Sentence number {i} of many.</p>" for i in range(20000)) + "</article>"
+    deep = "<div>" * 3000 + "<article><h1>D</h1><p>Far down there is a sentence.</p></article>" + "</div>" * 3000
+    rows = [(1, "u", long, "z", 1), (1, "u", deep, "z", 1)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert got[0].text.count("\n\n") == 20000 and got[0].n_chars == len(got[0].text)
+    assert got[1].text == "D\n\nFar down there is a sentence."

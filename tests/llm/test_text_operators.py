@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -178,13 +179,58 @@ def test_words_over_window_ends(monkeypatch):
     assert np.diff(rows).tolist() == [62, 0, 1] and h[0] == h[61] and h[1] == h[62] and h[60] not in (h[0], h[1])
 
 
+def cut(ids, capacity):
+    """(start, length) of a document's pieces; only the first may be shorter than the capacity."""
+    first = len(ids) % capacity or capacity
+    return [(0, first), *((at, capacity) for at in range(first, len(ids), capacity))]
+
+
+def best_fit(lengths, capacity):
+    """Sequences of plain best fit, longest pieces first, one piece at a time."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - n)
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+def test_sweeps_place_as_plain_best_fit_does():
+    rnd = random.Random(4)
+    for _ in range(60):
+        capacity = rnd.choice([10, 64, 100])
+        lengths = [rnd.randint(1, rnd.choice([capacity, capacity // 2, 7])) for _ in range(rnd.randint(1, 300))]
+        rules = packing.sweep(Counter(lengths), capacity)
+        assert max(first + n for _, _, n, first, _ in rules) == best_fit(lengths, capacity)
+
+
+@pytest.mark.parametrize("kind, name", [(WordEncoder, "word_bpe_49k.json"), (ByteEncoder, "byte_bpe_50k.json")])
+def test_ids_of_odd_letters_and_white_space(kind, name):
+    """Letters that Unicode has not given out, or that Python knows no case of; white space of every kind; special entries."""
+    rnd = random.Random(6)
+    points = [0x558, 0x58B, 0x88F, 0xC5C, 0x1C89, 0x208F, 0xA7CB, 0x130, 0x3A3, 0x1E9E, *rnd.sample([c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000], 8000)]
+    parts = ["a", "B", "\xdc", "e\u0301", "1", ".", "'s", " ", " ", "\n", "\xa0", "\t", "  ", "\x1c", "\r\n", "\x85", "\u3000", "<|endoftext|>", "<|EndOfText|>"]
+    texts = [f"a{chr(c)}b A{chr(c)} {chr(c)}1" for c in points] + ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(8000)]
+    t = Tokenizer.from_file(P.path(name))
+    want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert kind(P.path(name)).encode(texts) == want
+    if kind is WordEncoder:
+        got = bpe.WordBpe(P.path(name)).digests(pa.array(texts))
+        ids = [np.frombuffer(w, "<u4").tolist() for w in want]
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert got == [(len(i), sha(" ".join(map(str, i))), sha(t.decode(i, skip_special_tokens=False))) for i in ids]
+
+
 def test_packing(docs, rows):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     got = packing.pack(docs, P.path("byte_bpe_50k.json"), capacity=64).collect()
     want = Counter()
     for i, text, *_ in rows:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
-        for k, (start, n) in enumerate(packing.cut(ids, 64)):
+        for k, (start, n) in enumerate(cut(ids, 64)):
             want[i, k, start, n, zlib.crc32(ids[start : start + n].tobytes())] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     by = defaultdict(list)
@@ -245,7 +291,7 @@ def test_bpe_equals_the_library(spark, docs, rows, odd_texts):
     t, own = Tokenizer.from_file(path), bpe.WordBpe(path)
     digest = lambda x: (len(i := t.encode(x, add_special_tokens=False).ids), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(t.decode(i, skip_special_tokens=False).encode()).hexdigest())
     assert [own.whole(x) for x in odd_texts] == [t.encode(x, add_special_tokens=False).ids for x in odd_texts]
-    assert [own.digest(x) for x in odd_texts] == list(map(digest, odd_texts))
+    assert own.digests(pa.array(odd_texts)) == list(map(digest, odd_texts))
     assert Counter(map(tuple, bpe.digests(docs, path).collect())) == Counter((i, *digest(x or "")) for i, x, *_ in rows)
     back = bpe.decode(bpe.encode(docs.where("doc_id = 103"), path), path).first().text
     assert back == t.decode(t.encode("a b", add_special_tokens=False).ids, skip_special_tokens=False)
@@ -299,3 +345,68 @@ def test_empty_tables(empty, spark):
     assert bpe.digests(empty, P.path("word_bpe_49k.json")).count() == 0
     assert quality_classifier.score_quality(empty, labels).count() == 0
     assert quality_rules.judge(empty, P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_quality_verdicts_equal_plain_bands(docs, spark, sf):
+    """Measures word by word, and quartiles, bands and verdicts of sorted lists."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").unionByName(docs.select("doc_id", "text", "lang"))
+    got = quality_rules.judge(table, P.path("piece_bpe_32k.model")).collect()
+    for r in got[::9]:
+        ids = [i for w in (r.text or "").encode().split() for i in model.encode(w.decode("utf-8", "replace"))]
+        share = [n / len(ids) for n in Counter(ids).values()]
+        assert r.n_tokens == len(ids)
+        assert r.entropy == pytest.approx(-sum(s * np.log2(s) for s in share) / np.log2(max(len(ids), 2)), abs=1e-9)
+        assert r.byte_share == pytest.approx(sum(model.is_byte(i) for i in ids) / max(len(ids), 1))
+
+    def quartiles(rows, m):
+        return np.percentile([round(r[m], 3) for r in rows], [25, 75]) if rows else np.zeros(2)
+
+    judged = [r for r in got if not r.base_failed]
+    size = lambda r: int(np.log2(max(r.n_tokens, 1)))
+    for r in got:
+        fine = [x for x in judged if (x.lang or "", x.script, size(x)) == (r.lang or "", r.script, size(r))]
+        rough = [x for x in judged if x.script == r.script]
+        sized = [x for x in rough if size(x) == size(r)]
+        inside = not r.base_failed
+        for m, floor in quality_rules.FLOORS.items():
+            q = quartiles(judged, m)
+            for rows in (rough, sized, fine):
+                q = (len(rows) * quartiles(rows, m) + quality_rules.PRIOR * q) / (len(rows) + quality_rules.PRIOR)
+            below, above = (max(n * (q[1] - q[0]), floor) for n in quality_rules.SPREADS[m])
+            if min(abs(r[m] - q[0] + below), abs(r[m] - q[1] - above)) < 1e-6:
+                inside = r.kept  # at the very edge rounding decides
+                break
+            inside = inside and q[0] - below <= r[m] <= q[1] + above
+        assert r.kept == inside
+    again = quality_rules.judge(table.repartition(7), P.path("piece_bpe_32k.model")).collect()
+    assert Counter((r.doc_id, r.kept) for r in again) == Counter((r.doc_id, r.kept) for r in got)
+
+
+def test_quality_classifier_equals_plain_ridge_and_isotonic(spark, sf):
+    """The same statistics, with normal equations and pooling written out over whole arrays."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    labels = labels.unionByName(labels.limit(5))  # repeated labels count as often as they are there
+    model, described = quality_classifier.train(docs, labels)
+    x_of = {r.doc_id: r.x for r in described.collect()}
+    known = [(r.doc_id, r.quality, zlib.crc32(str(r.doc_id).encode()) % 4) for r in labels.collect() if r.doc_id in x_of]
+    rows = [(np.array(x_of[i]), y, k == 3) for i, y, k in known if k != 2]
+    x = np.array([r[0] for r in rows])
+    assert np.allclose(model.centre, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    first = [(a, y) for a, y, second in rows if not second]
+    z, y = model.features(np.array([a for a, _ in first])), np.array([y for _, y in first], float)
+    weights = np.linalg.solve(z.T @ z + quality_classifier.RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(weights, model.weights, atol=1e-6)
+    at = np.rint(np.clip(model.features(np.array([a for a, _, s in rows if s])) @ weights, -1, 2) * quality_classifier.BINS) / quality_classifier.BINS
+    y = np.array([b for _, b, s in rows if s], float)
+    places = sorted(set(at))
+    # Isotonic regression by its minimax formula.
+    mean = lambda a, b: y[(at >= a) & (at <= b)].mean()
+    for p in places[::7]:
+        level = max(min(mean(a, b) for b in places if b >= p) for a in places if a <= p)
+        block = [q for q in places if abs(max(min(mean(a, b) for b in places if b >= q) for a in places if a <= q) - level) < 1e-12]
+        n = ((at >= block[0]) & (at <= block[-1])).sum()
+        got = np.interp(p, model.knots, model.levels)
+        assert got == pytest.approx((level * n + 0.5) / (n + 1), abs=0.02)
