@@ -81,7 +81,7 @@ def write_gron(value: Any, name: str = "json") -> str:
 def write_yaml(value: Any) -> str:
     import yaml
 
-    return yaml.safe_dump(value, sort_keys=True, allow_unicode=True)
+    return yaml.safe_dump(value, sort_keys=True, allow_unicode=True).removesuffix("...\n")
 
 
 def write_csv(rows: list, separator: str = ",") -> str:

@@ -21,7 +21,7 @@ from nodeloom.functions import text as S
 from nodeloom.language.grammar import parse
 from nodeloom.operators import selectors
 from nodeloom.operators.selectors import _KIND_OF
-from nodeloom.sources.nodes import parse_markdown
+from nodeloom.sources.nodes import _COLUMNS, parse_markdown
 
 _TEXT = {"downcase": F.lower, "upcase": F.upper, "trim": F.trim, "ltrim": F.ltrim, "rtrim": F.rtrim, "slugify": S.slugify, "to_text": lambda c: c, "to_string": lambda c: c}
 #: Kinds whose nodes have none of their own kind in them.
@@ -75,7 +75,13 @@ def _wanted(query: str) -> list[str] | None:
 
 def compiled(nodes: DataFrame, query: str) -> DataFrame | None:
     """(doc_id, pos, value) by columns, or None if the query needs the evaluator."""
-    hit, value, is_node, nests = F.lit(True), F.col("markdown"), True, True
+    found = _compiled(nodes, query)
+    return found and found[0]
+
+
+def _compiled(nodes: DataFrame, query: str) -> tuple[DataFrame, bool] | None:
+    """The rows, and whether their values are rendered nodes."""
+    hit, value, is_node, nests = F.lit(True), F.col("markdown") if "markdown" in nodes.columns else F.lit(None), True, True
     for step in parse(query):
         attribute = None
         if step[0] == "chain" and step[3] and step[1][0] == "selector" and not step[2][2]:
@@ -110,7 +116,7 @@ def compiled(nodes: DataFrame, query: str) -> DataFrame | None:
     if nests:  # of hits within each other the outermost counts
         before = W.partitionBy("doc_id").orderBy("lft").rowsBetween(W.unboundedPreceding, -1)
         rows = rows.withColumn("__reach", F.max("rgt").over(before)).where("__reach is null or __reach < lft")
-    return rows.select("doc_id", "pos", F.col("__value").alias("value")).where("value <> ''")
+    return rows.select("doc_id", "pos", F.col("__value").alias("value")).where("value <> ''"), is_node
 
 
 def _evaluated(query: str, mdx: bool, host: dict):
@@ -147,9 +153,14 @@ def evaluate(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str
 
 def run(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", mdx: bool = False, **host) -> DataFrame:
     """(doc_id, value): the query's values that are not empty, by columns where that is possible."""
-    by_columns = None if host else compiled(parse_markdown(docs, id_col, text_col, mdx, _wanted(query)), query)
+    kinds = _wanted(query)
+    by_columns = None if host else _compiled(parse_markdown(docs, id_col, text_col, mdx, kinds), query)
     if by_columns is not None:
-        return by_columns.select("doc_id", "value")
+        found, rendered = by_columns
+        if not rendered:
+            unrendered = [n for n, _ in _COLUMNS if n != "markdown"]
+            found, _ = _compiled(parse_markdown(docs, id_col, text_col, mdx, kinds, unrendered), query)
+        return found.select("doc_id", "value")
     return evaluate(docs, query, id_col, text_col, mdx, **host).select("doc_id", "value")
 
 
@@ -185,3 +196,30 @@ def over_rows(rows: DataFrame, query: str, **host) -> DataFrame:
     own = rows.drop("value", "error")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
     return own.mapInArrow(_of_rows(query, own.columns, host), ", ".join(x for x in (fields, "value string, error string") if x))
+
+
+def _rewritten(query: str, mdx: bool, host: dict):
+    def run(batches):
+        from nodeloom.language.evaluate import Evaluator
+        from nodeloom.sources import markdown_parser as M
+
+        steps = parse(query)
+        for batch in batches:
+            texts, errors = [], []
+            for text in batch.column(1).to_pylist():
+                try:
+                    texts.append(M.document(Evaluator(**host).rewritten(steps, M.parse(text or "", mdx))))
+                    errors.append(None)
+                except Exception as error:  # the document stays as it is
+                    texts.append(text)
+                    errors.append(str(error))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["doc_id", "text", "value", "error"])
+
+    return run
+
+
+def update(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", mdx: bool = False, **host) -> DataFrame:
+    """(doc_id, text, value, error): each document with the query's values in place of the nodes that it has some for."""
+    parse(query)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(_rewritten(query, mdx, host), f"doc_id {own.schema[0].dataType.simpleString()}, text string, value string, error string")

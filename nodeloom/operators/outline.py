@@ -59,20 +59,31 @@ def tables(nodes: DataFrame) -> DataFrame:
     return top.where("kind = 'table_cell'")
 
 
+def _headed(nodes: DataFrame) -> DataFrame:
+    """Cells with the head of their column: one pass over the nodes, without a join."""
+    column = W.partitionBy("doc_id", "table", "col")
+    return tables(nodes).withColumn("head", F.max(F.when(F.col("row") == 0, F.col("text"))).over(column)).where("row > 0")
+
+
 def table_records(nodes: DataFrame) -> DataFrame:
     """(doc_id, table, row, record): each body row as a map from the heads to its cells."""
-    cells = tables(nodes)
-    heads = cells.where("row = 0").select("doc_id", "table", "col", F.col("text").alias("head"))
-    body = cells.where("row > 0").join(heads, ["doc_id", "table", "col"])
     pairs = F.array_sort(F.collect_list(F.struct("col", "head", "text")))
-    return body.groupBy("doc_id", "table", "row").agg(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["head"], x["text"]))).alias("record"))
+    rows = _headed(nodes).groupBy("doc_id", "table", "row")
+    return rows.agg(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["head"], x["text"]))).alias("record"))
 
 
 def table_column(nodes: DataFrame, head: str) -> DataFrame:
     """(doc_id, table, row, value) of the columns with this head."""
-    cells = tables(nodes)
-    heads = cells.where((F.col("row") == 0) & (F.col("text") == head)).select("doc_id", "table", "col")
-    return cells.where("row > 0").join(heads, ["doc_id", "table", "col"], "left_semi").select("doc_id", "table", "row", F.col("text").alias("value"))
+    return _headed(nodes).where(F.col("head") == head).select("doc_id", "table", "row", F.col("text").alias("value"))
+
+
+def sort_rows(nodes: DataFrame, column: int | None = None) -> DataFrame:
+    """(doc_id, table, row, place, cells): each table's body rows by the text of a column, or of all; ties as they stand."""
+    cells = tables(nodes).where("row > 0")
+    ordered = F.array_sort(F.collect_list(F.struct("col", "text")))
+    rows = cells.groupBy("doc_id", "table", "row").agg(F.transform(ordered, lambda x: x["text"]).alias("cells"))
+    by = F.col("cells") if column is None else F.col("cells")[column]
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("doc_id", "table").orderBy(by, "row")))
 
 
 def callouts(nodes: DataFrame, *names: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 _KINDS = {
     "blockquote": [">"],
@@ -115,11 +116,13 @@ def predicate(selector: str, *arguments: str | int | range) -> Column:
 def select(nodes: DataFrame, selector: str, *arguments: str | int | range) -> DataFrame:
     """Nodes at the top of the document for which the selector holds; a path such as ``.blockquote .code`` looks below the first."""
     first, *rest = selector.split()
-    found = nodes.where(F.col("parent").isNull() & predicate(first, *(() if rest else arguments)))
+    hit = F.col("parent").isNull() & predicate(first, *(() if rest else arguments))
+    # Below a hit is what begins before the farthest end of the hits before it: a window over the document, and no join.
+    before = W.partitionBy("doc_id").orderBy("lft").rowsBetween(W.unboundedPreceding, -1)
     for i, part in enumerate(rest):
-        below = nodes.where(predicate(part, *(arguments if i == len(rest) - 1 else ())))
-        found = within(below, found)
-    return found
+        nodes = nodes.withColumn("__reach", F.max(F.when(hit, F.col("rgt"))).over(before)).withColumn("__below", F.coalesce(F.col("__reach") > F.col("lft"), F.lit(False)))
+        hit = F.col("__below") & predicate(part, *(arguments if i == len(rest) - 1 else ()))
+    return nodes.where(hit).drop("__reach", "__below")
 
 
 def within(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -141,7 +144,5 @@ def set_attribute(nodes: DataFrame, selector: str, name: str, value) -> DataFram
 
 def grep(rows: DataFrame, condition: Column, before: int = 0, after: int = 0, group: str = "doc_id", order: str = "pos") -> DataFrame:
     """Rows for which the condition holds and those around them, with is_match."""
-    from pyspark.sql import Window as W
-
     near = W.partitionBy(group).orderBy(order).rowsBetween(-after, before)
     return rows.withColumn("is_match", condition).withColumn("__near", F.max("is_match").over(near)).where("__near").drop("__near")

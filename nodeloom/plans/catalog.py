@@ -31,8 +31,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _nodes(spark: SparkSession, sf_dir: str, fixture: str = "outline") -> DataFrame:
-    return parse_markdown(getattr(fixtures, fixture)(spark, sf_dir))
+def _nodes(spark: SparkSession, sf_dir: str, fixture: str = "outline", **only: list[str]) -> DataFrame:
+    return parse_markdown(getattr(fixtures, fixture)(spark, sf_dir), **only)
 
 
 _t = fixtures.table
@@ -78,7 +78,7 @@ def sel_nested_items(spark, sf_dir):
 
 @query("SELECT o_custkey AS doc_id, count(*) FILTER (o_orderstatus <> 'F') AS todo, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS task FROM orders GROUP BY 1")
 def sel_tasks(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir, "orders")
+    nodes = _nodes(spark, sf_dir, "orders", kinds=["list"], columns=["kind", "checked"])
     count = lambda s: F.count_if(F.coalesce(S.predicate(s), F.lit(False)))
     return nodes.groupBy("doc_id").agg(count(".todo").alias("todo"), count(".done").alias("done"), count(".task").alias("task"))
 
@@ -100,7 +100,7 @@ def sel_first_item(spark, sf_dir):
 
 @query("SELECT n_nationkey AS doc_id, 'inner ' || n_nationkey AS value FROM nation WHERE n_nationkey % 2 = 1")
 def sel_descendant_code(spark, sf_dir):
-    return S.select(_nodes(spark, sf_dir, "quotes"), ".blockquote .code").select("doc_id", "value")
+    return S.select(_nodes(spark, sf_dir, "quotes", columns=["parent", "lft", "rgt", "kind", "lang", "value"]), ".blockquote .code").select("doc_id", "value")
 
 
 @query("SELECT n_nationkey AS doc_id, 'NOTE' AS callout, 'Title ' || n_nationkey AS title FROM nation WHERE n_nationkey % 2 = 0")
@@ -465,7 +465,7 @@ for _name, _fixture, _text, _sql in [
     _language(_name, _fixture, _text, _sql)
 
 
-@query()
+@query("SELECT p_name AS value FROM part WHERE contains(p_name, 'bolt')")
 def stream_lines(spark, sf_dir):
     """Lines of a file source, each by itself; what one trigger over the files gives."""
     from nodeloom.streaming.lines import grep_once

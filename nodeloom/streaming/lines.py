@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,11 @@ def write(stream: DataFrame, path: str, checkpoint: str, kind: str = "parquet"):
 
 def grep_once(spark: SparkSession, rows: DataFrame, column: str, pattern: str) -> DataFrame:
     """Rows written as files, streamed back line by line, and kept where the pattern matches."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/nodeloom-stream"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="nodeloom-stream-")
     run = f"{base.rstrip('/')}/lines-{uuid.uuid4().hex}"
     rows.select(F.col(column).alias("value")).write.text(f"{run}/in")
     found = read_lines(spark, f"{run}/in").where(F.rlike("value", F.lit(pattern)))
