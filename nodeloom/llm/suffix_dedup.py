@@ -17,7 +17,7 @@ whose occurrences have unlike bytes on their left begin a maximal repeat, so the
 occurrences and the bytes up to the end of the repeated span, and each string's suffixes are sorted and scanned.
 
 Texts that are equal as a whole are found by a 128-bit hash and worked on once. An anchor with more unlike runs than
-``SUFFIXES`` allows is decided by 64-bit hashes of its strings instead, which are dealt by the string and so meet in no one task.
+``SUFFIXES`` allows is decided by 128-bit hashes of its strings instead, which are dealt by the string and so meet in no one task.
 """
 
 from __future__ import annotations
@@ -55,12 +55,16 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         row = end
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
+def _sums(data: np.ndarray, table: np.ndarray = H.BYTES) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(H.BYTES[data] * H.powers(H.BASE, len(data)), out=out[1:])
+    np.cumsum(table[data] * H.powers(H.BASE, len(data)), out=out[1:])
     return out
 
 
+#: Values of bytes in a second hash, independent of the first.
+_OTHER = np.random.default_rng(99).permutation(H.BYTES) ^ np.uint64(0x5851F42D4C957F2C) | np.uint64(1)
+
+
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x) - width + 1
     blocks = -(-len(x) // width)
@@ -181,25 +185,29 @@ def _by_owner(sets: np.ndarray, owner: np.ndarray, values: np.ndarray) -> pa.Tab
 _FLAGGED = np.dtype([("key", "<u8"), ("content", "<u8"), ("start", "<u4"), ("back", "u1"), ("more", "u1"), ("flags", "u1")])
 
 
-def _flag(table: pa.Table) -> pa.Table:
-    """Of one bucket of anchors: the runs that repeat as a whole, and those that a suffix array has to compare."""
-    sets, owner, runs = _unpacked(table, _RUN)
-    order = np.lexsort((runs["at"] - runs["back"], owner, runs["content"], runs["key"]))
-    owner, runs = owner[order], runs[order]
-    same = np.zeros(len(runs), bool)
-    same[1:] = (runs[1:] == runs[:-1]) & (owner[1:] == owner[:-1])
-    owner, runs = owner[~same], runs[~same]
-    new_key = np.concatenate([[True], runs["key"][1:] != runs["key"][:-1]])
-    new_run = new_key | np.concatenate([[True], runs["content"][1:] != runs["content"][:-1]])
-    in_run = np.bincount(np.cumsum(new_run) - 1)[np.cumsum(new_run) - 1]
-    unlike = np.bincount(np.cumsum(new_key) - 1, weights=new_run)[np.cumsum(new_key) - 1]
-    flags = np.where(in_run > 1, FULL, 0) | np.where((unlike > 1) & new_run, np.where(unlike > SUFFIXES, HOT, OPEN), 0) | np.where(unlike > 1, MIXED, 0)
-    take = flags > 0
-    out = np.zeros(int(take.sum()), _FLAGGED)
-    for name in ("key", "content", "back", "more"):
-        out[name] = runs[name][take]
-    out["start"], out["flags"] = runs["at"][take] - runs["back"][take], flags[take]
-    return _by_owner(sets, owner[take], out)
+def _flag(most: int):
+    """Of one bucket of anchors: the runs that repeat as a whole, and those that a suffix array has to compare; of anchors with over ``most`` unlike ones, strings."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets, owner, runs = _unpacked(table, _RUN)
+        order = np.lexsort((runs["at"] - runs["back"], owner, runs["content"], runs["key"]))
+        owner, runs = owner[order], runs[order]
+        same = np.zeros(len(runs), bool)
+        same[1:] = (runs[1:] == runs[:-1]) & (owner[1:] == owner[:-1])
+        owner, runs = owner[~same], runs[~same]
+        new_key = np.concatenate([[True], runs["key"][1:] != runs["key"][:-1]])
+        new_run = new_key | np.concatenate([[True], runs["content"][1:] != runs["content"][:-1]])
+        in_run = np.bincount(np.cumsum(new_run) - 1)[np.cumsum(new_run) - 1]
+        unlike = np.bincount(np.cumsum(new_key) - 1, weights=new_run)[np.cumsum(new_key) - 1]
+        flags = np.where(in_run > 1, FULL, 0) | np.where((unlike > 1) & new_run, np.where(unlike > most, HOT, OPEN), 0) | np.where(unlike > 1, MIXED, 0)
+        take = flags > 0
+        out = np.zeros(int(take.sum()), _FLAGGED)
+        for name in ("key", "content", "back", "more"):
+            out[name] = runs[name][take]
+        out["start"], out["flags"] = runs["at"][take] - runs["back"][take], flags[take]
+        return _by_owner(sets, owner[take], out)
+
+    return run
 
 
 def _send(length: int, buckets: int):
@@ -339,11 +347,11 @@ def _suffix_arrays(length: int):
     return run
 
 
-_STRING = np.dtype([("key", "<u8"), ("start", "<u4")])
+_STRING = np.dtype([("key", "<u8"), ("check", "<u8"), ("start", "<u4")])
 
 
 def _strings(length: int, buckets: int):
-    """Hashes of the strings of runs of hot anchors."""
+    """Hashes of the strings of runs of hot anchors, two of 64 bits."""
 
     def run(batches):
         for part in _unseen(batches):
@@ -353,9 +361,10 @@ def _strings(length: int, buckets: int):
                 for x in np.frombuffer(b"".join(packed), _FLAGGED):
                     if x["flags"] & HOT:
                         text = data[offsets[i] + x["start"] : offsets[i] + x["start"] + x["more"] + length]
-                        sums = _sums(text)
                         one = np.zeros(int(x["more"]) + 1, _STRING)
-                        one["key"] = H.mix((sums[length:] - sums[:-length]) * H.powers(H.INVERSE, len(one)))
+                        for name, table in (("key", H.BYTES), ("check", _OTHER)):
+                            sums = _sums(text, table)
+                            one[name] = H.mix((sums[length:] - sums[:-length]) * H.powers(H.INVERSE, len(one)))
                         one["start"] = x["start"] + np.arange(len(one))
                         owners.append(np.full(len(one), i))
                         out.append(one)
@@ -369,8 +378,8 @@ def _strings(length: int, buckets: int):
 def _equal_strings(length: int):
     def run(table: pa.Table) -> pa.Table:
         sets, owner, values = _unpacked(table, _STRING)
-        _, which, n = np.unique(values["key"], return_inverse=True, return_counts=True)
-        take = n[which] > 1
+        which = _ranks(values["key"], values["check"])
+        take = np.bincount(which)[which] > 1
         out = np.zeros(int(take.sum()), _REPEAT)
         out["group"], out["start"], out["size"] = values["key"][take].astype(np.int64), values["start"][take], length
         return _by_owner(sets, owner[take], out)
@@ -596,7 +605,7 @@ def _removal(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, Da
     packed = "bucket int, prints binary, counts binary, vals binary"
     owned = "f1 long, f2 long, vals binary"
     dealt = long.select("f1", "f2", "text").mapInArrow(_deal(length, buckets), packed)
-    flags = dealt.groupBy("bucket").applyInArrow(_flag, owned)
+    flags = dealt.groupBy("bucket").applyInArrow(_flag(SUFFIXES), owned)
     flags = flags.groupBy("f1", "f2").agg(F.collect_list("vals").alias("flagged"))
     copies = long.groupBy("f1", "f2").agg(F.count("*").alias("copies")).where("copies > 1")
     info = save(flags.join(copies, ["f1", "f2"], "full_outer"), "runs")
@@ -610,3 +619,19 @@ def _removal(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, Da
     kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("__")).alias("rest")).schema["rest"].dataType.simpleString()
     cut = cut.mapInArrow(_cut(length), f"rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return cut.select(*[F.col(f"rest.`{c}`") for c in rest], *out), joined, found, buckets
+
+
+#: The rows of the query in SQL: every string of 200 bytes is counted, and those that are there twice are laid over the texts.
+SQL = """
+WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+sized AS (SELECT doc_id, t, octet_length(t) AS n, row_number() OVER () AS r FROM texts),
+strings AS (SELECT r, i, md5(t[i:i + 199]) AS h FROM (SELECT r, t, unnest(range(1, n - 198)) AS i FROM sized WHERE n >= 200)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM strings) WHERE c > 1),
+islands AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS island FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM again)),
+spans AS (SELECT r, island, min(i) AS a, max(i) + 200 AS b FROM islands GROUP BY 1, 2),
+cuts AS (SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone FROM spans GROUP BY 1),
+kept AS (SELECT r, list_transform(range(1, len(a) + 2), lambda k: CASE WHEN k = 1 THEN t[1:a[1] - 1] WHEN k > len(a) THEN t[b[k - 1]:n] ELSE t[b[k - 1]:a[k] - 1] END) AS pieces FROM cuts JOIN sized USING (r))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN pieces IS NULL THEN t ELSE list_reduce(pieces, lambda x, y: x || y) END) AS kept_sha256
+FROM sized LEFT JOIN cuts USING (r) LEFT JOIN kept USING (r)
+"""
