@@ -16,8 +16,10 @@ from nodeloom.llm.scratch import save
 
 #: Turns of a block.
 BLOCK = 128
-#: Two moduli under 2**30, so that products of two numbers fit 64 bits; both hashes have to agree.
-PRIMES, BASES = (1073741789, 1073741783), (357913931, 715827883)
+#: Moduli under 2**30, so that products of two numbers fit 64 bits. All hashes have to agree, some 120 bits.
+PRIMES, BASES = (1073741789, 1073741783, 1073741741, 1073741723), (357913931, 715827883, 536870923, 268435459)
+_ALL = range(len(PRIMES))
+_HASHES = [f"h{i}" for i in _ALL]
 
 
 def _turn_hash(seed: int) -> Column:
@@ -49,18 +51,18 @@ def maximal(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, block, place) of the conversations that are no prefix of another one."""
     own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).where("conv_id is not null")
     turns = save(_ranked(own), "turns")
-    terms = turns.select("conv_id", "block", "place", *[F.pmod(_turn_hash(i) * _power(BASES[i], PRIMES[i], F.col("place")), F.lit(PRIMES[i])).alias(f"t{i}") for i in (0, 1)])
-    sums = terms.groupBy("conv_id", "block").agg(*[F.sum(f"t{i}").alias(f"s{i}") for i in (0, 1)])
+    terms = turns.select("conv_id", "block", "place", *[F.pmod(_turn_hash(i) * _power(BASES[i], PRIMES[i], F.col("place")), F.lit(PRIMES[i])).alias(f"t{i}") for i in _ALL])
+    sums = terms.groupBy("conv_id", "block").agg(*[F.sum(f"t{i}").alias(f"s{i}") for i in _ALL])
     ahead = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("conv_id", "block", *[F.coalesce(F.sum(f"s{i}").over(ahead), F.lit(0)).alias(f"b{i}") for i in (0, 1)])
+    sums = sums.select("conv_id", "block", *[F.coalesce(F.sum(f"s{i}").over(ahead), F.lit(0)).alias(f"b{i}") for i in _ALL])
     so_far = W.partitionBy("conv_id", "block").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    prefixes = terms.withColumns({f"w{i}": F.sum(f"t{i}").over(so_far) for i in (0, 1)}).join(sums, ["conv_id", "block"])
-    prefixes = save(prefixes.select("conv_id", (F.col("place") + 1).alias("n"), *[F.pmod(F.col(f"w{i}") + F.col(f"b{i}"), F.lit(PRIMES[i])).alias(f"h{i}") for i in (0, 1)]), "prefixes")
-    whole = prefixes.groupBy("conv_id").agg(F.max(F.struct("n", "h0", "h1")).alias("last")).select("conv_id", "last.*")
-    kept = whole.groupBy("n", "h0", "h1").agg(F.min("conv_id").alias("conv_id"))
+    prefixes = terms.withColumns({f"w{i}": F.sum(f"t{i}").over(so_far) for i in _ALL}).join(sums, ["conv_id", "block"])
+    prefixes = save(prefixes.select("conv_id", (F.col("place") + 1).alias("n"), *[F.pmod(F.col(f"w{i}") + F.col(f"b{i}"), F.lit(PRIMES[i])).alias(f"h{i}") for i in _ALL]), "prefixes")
+    whole = prefixes.groupBy("conv_id").agg(F.max(F.struct("n", *_HASHES)).alias("last")).select("conv_id", "last.*")
+    kept = whole.groupBy("n", *_HASHES).agg(F.min("conv_id").alias("conv_id"))
     # Prefixes shorter than their own conversation, each once however many have it.
-    inner = prefixes.join(whole.select("conv_id", F.col("n").alias("all")), "conv_id").where("n < all").select("n", "h0", "h1").distinct()
-    kept = kept.join(inner, ["n", "h0", "h1"], "left_anti").select("conv_id")
+    inner = prefixes.join(whole.select("conv_id", F.col("n").alias("all")), "conv_id").where("n < all").select("n", *_HASHES).distinct()
+    kept = kept.join(inner, ["n", *_HASHES], "left_anti").select("conv_id")
     return turns.join(kept, "conv_id", "left_semi")
 
 
