@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import ann, chat_format
+from nodeloom.llm import ann, chat_format, jaccard_join, suffix_dedup
 from nodeloom.llm.bpe import digests
 from nodeloom.llm.html_extract import main_text
 from nodeloom.llm.jaccard_join import jaccard_components
@@ -75,4 +75,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
 }
-SQL: dict[str, str] = {"op5_chat_formatting": chat_format.SQL}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": jaccard_join.SQL, "op5_chat_formatting": chat_format.SQL, "op7_suffix_array_dedup": suffix_dedup.SQL, "op8_nearest_neighbours": ann.SQL}

@@ -118,6 +118,25 @@ def test_suffix_dedup(docs, rows):
     assert Counter(map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == removed(rows)
 
 
+def test_hot_anchors_equal_brute_force(spark, monkeypatch):
+    """One passage inside many unlike ones, with anchors that count as hot from 2 and from 5 unlike runs on."""
+    rnd = random.Random(12)
+    letters = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    inner = letters(170)
+    rows = [(i, letters(150) + inner[rnd.randint(0, 10) :] + letters(150)) for i in range(40)]
+    rows += [(100 + i, rows[i][1][90:330] + letters(60)) for i in range(12)] + [(200, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (1, 4):
+        monkeypatch.setattr(suffix_dedup, "SUFFIXES", most)
+        found = []
+        strings = suffix_dedup._equal_strings
+        monkeypatch.setattr(suffix_dedup, "_equal_strings", lambda n: found.append(n) or strings(n))
+        got = suffix_dedup.remove_repeats(docs)
+        assert Counter(map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == removed(rows)
+        assert found
+        monkeypatch.setattr(suffix_dedup, "_equal_strings", strings)
+
+
 def test_maximal_repeats_are_all_there():
     rnd = random.Random(4)
     core = bytes(rnd.choice(b"ab") for _ in range(400))
