@@ -73,9 +73,48 @@ def mode(rows: DataFrame, value: str) -> DataFrame:
     return counts.join(F.broadcast(most), F.col("n") == F.col("most")).select(F.col("key").alias("value"), "n")
 
 
+#: Rank error of the sketch that narrows a percentile down, as a share of the rows.
+SKETCH = 10_000
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``keys`` and a column for each share: exact percentiles, between two values in proportion; null values don't count.
+
+    A sketch gives, for each share, two values between which the wanted ranks lie for certain. A second pass counts what is below
+    them and keeps, by value, the few rows between: no task holds a group's values.
+    """
+    v = F.col(value)
+    own = rows.where(v.isNotNull()).select(*keys, v.cast("double").alias("__v"))
+    asked = [min(1.0, max(0.0, p + side * 4 / SKETCH)) for p in shares.values() for side in (-1, 1)]
+    bounds = own.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", asked, SKETCH).alias("__b"))
+    joined = own.join(bounds, keys) if keys else own.crossJoin(F.broadcast(bounds))  # without keys bounds is one row
+    # A small group is kept as a whole: there the sketch's margin is under a row.
+    bound = lambda i, edge: F.when(F.col("__n") <= SKETCH, F.col(edge)).otherwise(F.col("__b")[i])
+    low, high = (lambda i: bound(2 * i, "__min")), (lambda i: bound(2 * i + 1, "__max"))
+    inside = [F.col("__v").between(low(i), high(i)) for i in range(len(shares))]
+    anywhere = inside[0]
+    for x in inside[1:]:
+        anywhere = anywhere | x
+    below = joined.groupBy(*keys).agg(F.first("__n").alias("__n"), *[F.count_if(F.col("__v") < low(i)).alias(f"__below{i}") for i in range(len(shares))])
+    few = joined.where(anywhere).groupBy(*keys, "__v").agg(F.count("*").alias("__c"), *[F.first(x).alias(f"__in{i}") for i, x in enumerate(inside)])
+    few = few.join(below, keys) if keys else few.crossJoin(F.broadcast(below))
+    so_far = W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = []
+    for i, (name, p) in enumerate(shares.items()):
+        end = F.col(f"__below{i}") + F.sum(F.when(F.col(f"__in{i}"), F.col("__c")).otherwise(0)).over(so_far)
+        few = few.withColumn(f"__end{i}", end)
+        rank = F.lit(p) * (F.col("__n") - 1)
+        at = lambda r, i=i: F.max(F.when(F.col(f"__in{i}") & (r >= F.col(f"__end{i}") - F.col("__c")) & (r < F.col(f"__end{i}")), F.col("__v")))
+        first, second = at(F.floor(rank)), at(F.ceil(rank))
+        out.append((first + F.max(rank - F.floor(rank)) * (second - first)).alias(name))
+    return few.groupBy(*keys).agg(*out)
+
+
 def describe(rows: DataFrame, value: str) -> DataFrame:
     v = F.col(value)
-    return rows.agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("stddev"), F.var_pop(v).alias("variance"), F.count(v).alias("count"))
+    own = rows.agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), F.var_pop(v).alias("variance"), F.count(v).alias("count"))
+    median = percentiles(rows, [], value, {"median": 0.5})
+    return own.crossJoin(F.broadcast(median)).select("min", "max", "mean", "median", "stddev", "variance", "count")  # one row each
 
 
 def geomean(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -145,3 +184,34 @@ def update(nodes: DataFrame, results: DataFrame, column: str) -> DataFrame:
 def compact(rows: DataFrame, value: str) -> DataFrame:
     """Without null and empty values."""
     return rows.where(col(value).isNotNull() & (col(value).cast("string") != ""))
+
+
+def union_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both, the left ones' columns first; a column that one side lacks is null there."""
+    return left.unionByName(right, allowMissingColumns=True)
+
+
+def union(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both, each once."""
+    return union_all(left, right).distinct()
+
+
+def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.intersect(right.select(left.columns))
+
+
+def difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of the left side that the right one has not, each once."""
+    return left.subtract(right.select(left.columns))
+
+
+def page(rows: DataFrame, order: list[str], skip: int = 0, take: int | None = None) -> DataFrame:
+    """Rows in order after the first ``skip``, at most ``take`` of them."""
+    out = rows.orderBy(*order).offset(skip)
+    return out if take is None else out.limit(take)
+
+
+def tests(rows: DataFrame, any_of: dict[str, Column] | None = None, all_of: dict[str, Column] | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
+    """One row: whether a condition holds for any row, for all, and for how many; unknown counts as false."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return rows.agg(*[F.bool_or(sure(c)).alias(n) for n, c in (any_of or {}).items()], *[F.bool_and(sure(c)).alias(n) for n, c in (all_of or {}).items()], *[F.count_if(sure(c)).alias(n) for n, c in (counts or {}).items()])

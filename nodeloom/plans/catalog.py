@@ -192,10 +192,8 @@ def section_nodes(spark, sf_dir):
 
 @query("SELECT p_brand AS doc_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS INT) AS place, p_name AS name FROM part")
 def table_sort_rows(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    rows = O.table_records(_nodes(spark, sf_dir, "parts_table")).select("doc_id", F.col("record")["Name"].alias("name"), F.col("record")["Key"].cast("long").alias("key"))
-    return rows.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("name", "key")).alias("place"), "name")
+    rows = O.sort_rows(_nodes(spark, sf_dir, "parts_table"), 1)
+    return rows.select("doc_id", "place", F.col("cells")[1].alias("name"))
 
 
 @query("SELECT p_brand AS doc_id, p_size AS size, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1, 2")
@@ -242,13 +240,15 @@ def write_documents(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.nullif(F.col("o_custkey"), F.lit(7)).alias("o_custkey"))
-    customers = _t(spark, sf_dir, "customer").where("c_custkey % 2 = 1").select(F.col("c_custkey").cast("double").alias("c_custkey"), "c_name")
+    """All orders and all customers. Keys of orders are moved by 20, and one is null, so both sides have rows without a match."""
+    key = F.nullif(F.col("o_custkey"), F.lit(7)) + 20
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", key.alias("o_custkey"), F.col("o_orderstatus").alias("tag"))
+    customers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("double").alias("c_custkey"), "c_name", F.col("c_mktsegment").alias("tag"))
     return orders, customers
 
 
 def _join_sql(kind: str) -> str:
-    return f"SELECT o_orderkey, o_custkey, CAST(c_custkey AS DOUBLE) AS c_custkey, c_name FROM (SELECT o_orderkey, nullif(o_custkey, 7) AS o_custkey FROM orders) {kind} JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 1) ON o_custkey = c_custkey"
+    return f"SELECT o_orderkey, o_custkey, c_custkey, c_name, CASE WHEN c_custkey IS NULL THEN o.tag ELSE c.tag END AS tag FROM (SELECT o_orderkey, nullif(o_custkey, 7) + 20 AS o_custkey, o_orderstatus AS tag FROM orders) o {kind} JOIN (SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, c_mktsegment AS tag FROM customer) c ON o_custkey = c_custkey"
 
 
 def _join(kind: str):
@@ -311,7 +311,8 @@ def describe_quantity(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
 def percentile_price(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", p), 4).alias(n) for p, n in ((0.25, "p25"), (0.9, "p90"))])
+    found = R.percentiles(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p25": 0.25, "p90": 0.9})
+    return found.select("l_returnflag", F.round("p25", 4).alias("p25"), F.round("p90", 4).alias("p90"))
 
 
 @query("WITH c AS (SELECT p_size AS value, count(*) AS n FROM part GROUP BY 1) SELECT value, n FROM c WHERE n = (SELECT max(n) FROM c)")
@@ -331,7 +332,7 @@ def count_with_total(spark, sf_dir):
 
 @query("SELECT bool_or(l_quantity > 49) AS any_large, bool_and(l_quantity > 0) AS all_positive, count_if(l_discount = 0) AS undiscounted FROM lineitem")
 def any_all_count(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").agg(F.bool_or(F.col("l_quantity") > 49).alias("any_large"), F.bool_and(F.col("l_quantity") > 0).alias("all_positive"), F.count_if(F.col("l_discount") == 0).alias("undiscounted"))
+    return R.tests(_t(spark, sf_dir, "lineitem"), {"any_large": F.col("l_quantity") > 49}, {"all_positive": F.col("l_quantity") > 0}, {"undiscounted": F.col("l_discount") == 0})
 
 
 @query("SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)")
@@ -382,22 +383,27 @@ def pivot_wider(spark, sf_dir):
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def union_distinct(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(_t(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+    return R.union(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def intersect(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(_t(spark, sf_dir, "supplier").select("s_nationkey"))
+    return R.intersect(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
 @query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
 def except_(spark, sf_dir):
-    return _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(_t(spark, sf_dir, "supplier").select("s_nationkey"))
+    return R.difference(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT c_nationkey AS k, 'customer' AS side FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier")
+def union_all(spark, sf_dir):
+    return R.union_all(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.lit("customer").alias("side")), _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("supplier").alias("side")))
 
 
 @query("SELECT * FROM (SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 20 OFFSET 10)")
 def skip_and_limit(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_partkey").offset(10).limit(20)
+    return R.page(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_partkey"], 10, 20)
 
 
 @query("SELECT c_custkey, coalesce(s, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey AS k, max('x') AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON c_custkey = k")
@@ -428,8 +434,7 @@ def fuzzy_levenshtein(spark, sf_dir):
 
 @query("SELECT o_orderstatus, count(*) AS members FROM orders GROUP BY 1")
 def aggregate_documents(spark, sf_dir):
-    members = F.collect_list("o_orderkey")
-    return _t(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.size(members).cast("long").alias("members"))
+    return R.tally(_t(spark, sf_dir, "orders"), "o_orderstatus").select(F.col("key").alias("o_orderstatus"), F.col("n").alias("members"))
 
 
 @query("SELECT p_brand AS doc_id, p_brand || ': ' || min(p_name) AS text FROM part GROUP BY 1")
