@@ -8,10 +8,25 @@ from pyspark.sql import functions as F
 
 from nodeloom.functions.kinds import col
 
-downcase, upcase, trim, ltrim, rtrim = F.lower, F.upper, F.trim, F.ltrim, F.rtrim
+downcase, upcase = F.lower, F.upper
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def trim(s) -> Column:
+    """Without white space at the ends."""
+    return F.trim(col(s), F.lit(WHITE))
+
+
+def ltrim(s) -> Column:
+    return F.ltrim(col(s), F.lit(WHITE))
+
+
+def rtrim(s) -> Column:
+    return F.rtrim(col(s), F.lit(WHITE))
+
+
 def ascii_downcase(s) -> Column:
     return F.translate(col(s), _UPPER, _LOWER)
 

@@ -23,7 +23,12 @@ from nodeloom.operators import selectors
 from nodeloom.operators.selectors import _KIND_OF
 from nodeloom.sources.nodes import _COLUMNS, parse_markdown
 
-_TEXT = {"downcase": F.lower, "upcase": F.upper, "trim": F.trim, "ltrim": F.ltrim, "rtrim": F.rtrim, "slugify": S.slugify, "to_text": lambda c: c, "to_string": lambda c: c}
+#: Functions of a text without arguments, and with literal ones, as columns.
+_TEXT = {
+    "downcase": S.downcase, "upcase": S.upcase, "ascii_downcase": S.ascii_downcase, "ascii_upcase": S.ascii_upcase, "trim": S.trim, "ltrim": S.ltrim, "rtrim": S.rtrim, "slugify": S.slugify,
+    "md5": F.md5, "sha256": lambda c: F.sha2(c, 256), "to_text": lambda c: c, "to_string": lambda c: c, "identity": lambda c: c,
+}
+_TEXT_WITH = {"ltrimstr": (S.ltrimstr, (str,)), "rtrimstr": (S.rtrimstr, (str,)), "replace": (S.replace, (str, str)), "repeat": (S.repeat, (int,))}
 #: Kinds whose nodes have none of their own kind in them.
 _FLAT = frozenset("heading code code_inline text image html hr break math math_inline yaml toml definition list table_align footnoteref image_ref wikilink embed".split())
 _TESTS = {"contains": S.contains, "starts_with": S.starts_with, "ends_with": S.ends_with, "test": S.matches, "is_regex_match": S.matches}
@@ -90,9 +95,16 @@ def _compiled(nodes: DataFrame, query: str) -> tuple[DataFrame, bool] | None:
             step, attribute = None, step[1][1:]
         if step is not None:
             if not is_node:
-                if step[0] in ("ident", "call") and step[1] in _TEXT and not (step[2] if step[0] == "call" else []):
+                arguments = step[2] if step[0] == "call" else []
+                if step[0] in ("ident", "call") and step[1] in _TEXT and not arguments:
                     value = _TEXT[step[1]](value)
                     continue
+                if step[0] == "call" and step[1] in _TEXT_WITH and all(x[0] == "literal" for x in arguments):
+                    f, kinds = _TEXT_WITH[step[1]]
+                    given = [x[1] for x in arguments]
+                    if tuple(map(type, given)) == kinds and "" not in given:
+                        value = f(value, *given)
+                        continue
                 return None
             if step[0] == "selector":
                 where = _predicate(step)

@@ -130,7 +130,7 @@ def test_parser_fails_only_as_it_says(text):
         pass
 
 
-@pytest.mark.parametrize("query", [".h2 | to_text", '.h | select(contains("Nation 1")) | to_text | upcase', '.code("l1").value', ".link.url", ".strong", ".list", '.code | select(.lang == "l0")', 'select(contains("nation") && !contains("3")) | to_text', ".h | .depth"])
+@pytest.mark.parametrize("query", [".h2 | to_text", '.h | select(contains("Nation 1")) | to_text | upcase', '.code("l1").value', ".link.url", ".strong", ".list", '.code | select(.lang == "l0")', 'select(contains("nation") && !contains("3")) | to_text', ".h | .depth", '.h2 | to_text | ltrimstr("Nation ") | repeat(2)', '.link.url | replace("http", "ftp") | upcase | md5', ".code.value | trim | rtrimstr(\"1\") | sha256", ".strong | to_text | ascii_upcase | slugify"])
 def test_columns_give_what_the_evaluator_gives(spark, sf, query):
     docs = fixtures.outline(spark, sf)
     by_columns = R.compiled(parse_markdown(docs), query)
