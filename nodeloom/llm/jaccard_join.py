@@ -8,8 +8,9 @@ Jaccard distance is a metric, so a link of distance at most ``d`` obeys the tria
    that shingle's pivot, and their exact distances to it are computed;
 3. recurs: within a region new pivots are chosen among documents not linked to its pivot; each document goes to the Voronoi cell of its
    nearest pivot and, where ``d(x, q) <= d(x, own) + 2 d``, as a boundary replica to other cells. In a cell only documents in
-   the window ``|r(x) - r(y)| <= d`` stay. A cell closes when its documents all link to its pivot, and one that fits a task
-   is finished there. A pivot has met its whole region and leaves it, so the recursion ends, and no linked pair is lost.
+   the window ``|r(x) - r(y)| <= d`` stay. A cell closes when its documents are of one component, and one that fits a task is
+   finished there by the same recursion, where cells that would overlap by more than half stay together until the next
+   pivots. A pivot has met its whole region and leaves it, so the recursion ends, and no linked pair is lost.
 
 Exactness is up to collisions of 64-bit shingle hashes and 128-bit set fingerprints.
 """
@@ -217,32 +218,45 @@ def _open(cells: DataFrame, limit: float) -> DataFrame:
 
 
 def _finish(percent: int):
-    """The same recursion within one region that fits a task: pairs that link, and every pair of a wide node."""
+    """The same recursion within one region that fits a task: pairs whose links join whatever all links join, and all links of a wide node."""
+    limit = 1 - percent / 100 + 1e-9
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         node, n, wide = (table[c].to_numpy() for c in ("node", "n", "wide"))
         cores = [np.frombuffer(c, np.uint64) for c in table["core"].to_pylist()]
-        keys, owner = np.concatenate(cores), np.repeat(np.arange(len(cores)), [len(c) for c in cores])
+        lengths = np.array([len(c) for c in cores])
         part, out = np.unique(table["part"].to_numpy(), return_inverse=True)[1], []
-        rest = np.ones(len(node), bool)
-        while rest.sum() > 1:
-            among = np.flatnonzero(rest)
-            size = np.bincount(part[among], minlength=len(node))
-            outside = among[(part[among] != size.argmax()) | wide[among]]
-            if not len(outside):
-                break
-            pivot = outside[0]
-            take = rest[owner]
-            at = np.searchsorted(cores[pivot], keys[take])
-            hit = cores[pivot][np.minimum(at, len(cores[pivot]) - 1)] == keys[take]
-            same = np.bincount(owner[take][hit], minlength=len(node))
-            rest[pivot] = False
-            linked = rest & (100 * same >= percent * (n + n[pivot] - same))
-            for x in np.flatnonzero(linked | (rest & (wide | wide[pivot]) & (same > 0))):
-                out.append((node[pivot], node[x], n[pivot], n[x], same[x]))
-            for other in np.unique(part[linked]):
-                part[part == other] = part[pivot]
+        cells = [np.arange(len(node))]
+        while cells:
+            among = cells.pop()
+            while len(among) > 1:
+                size = np.bincount(part[among], minlength=len(node))
+                outside = among[(part[among] != size.argmax()) | wide[among]]
+                if not len(outside):  # one part: whatever links in here joins nothing new
+                    break
+                keys, owner = np.concatenate([cores[x] for x in among]), np.repeat(np.arange(len(among)), lengths[among])
+                pivots, left = outside[:PIVOTS], np.ones(len(among), bool)
+                far = np.ones((len(pivots), len(among)))
+                for i, pivot in enumerate(pivots):
+                    core = cores[pivot]
+                    at = np.minimum(np.searchsorted(core, keys), len(core) - 1)
+                    same = np.bincount(owner[core[at] == keys], minlength=len(among))
+                    far[i] = 1 - same / (n[among] + n[pivot] - same)
+                    left[np.searchsorted(among, pivot)] = False
+                    linked = left & (100 * same >= percent * (n[among] + n[pivot] - same))
+                    for x in np.flatnonzero(linked):
+                        out.append((node[pivot], node[among[x]], n[pivot], n[among[x]], same[x]))
+                    for other in np.unique(part[among[linked]]):
+                        part[part == other] = part[pivot]
+                # The pivots have met everyone. Voronoi cells with boundary replicas: a linked pair lies whole in the cell of either's nearest pivot.
+                among, far = among[left], far[:, left]
+                if not len(among):
+                    break
+                inside = far <= far.min(axis=0) + 2 * limit
+                if inside.sum() <= 1.5 * len(among):
+                    cells += [among[own] for own in inside if own.sum() > 1]
+                    break
         columns = list(zip(*out)) if out else [[]] * 5
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_a", "n_b", "same"])
 

@@ -93,6 +93,34 @@ def test_jaccard_recursion(spark, monkeypatch):
     assert got == components(rows)
 
 
+def test_cells_within_a_task_lose_no_link():
+    """Clusters of sets around a common core: regions split into cells, and what the links join stays joined."""
+    rnd = random.Random(31)
+    for _ in range(40):
+        common = [rnd.randrange(1 << 60) for _ in range(rnd.choice([1, 3]))]
+        centres = [[rnd.randrange(1 << 60) for _ in range(rnd.randint(8, 60))] for _ in range(rnd.randint(2, 12))]
+        sets = []
+        for _ in range(rnd.randint(5, 90)):
+            c = rnd.choice(centres)
+            sets.append(sorted(set(common) | set(rnd.sample(c, len(c) - rnd.randint(0, len(c) // 3))) | {rnd.randrange(1 << 60) for _ in range(rnd.randint(0, 3))}))
+        wide = [rnd.random() < 0.1 for _ in sets]
+        table = pa.table({"node": list(range(len(sets))), "part": list(range(len(sets))), "n": [len(s) for s in sets], "wide": wide, "core": [np.array(s, np.uint64).tobytes() for s in sets]})
+        got = jaccard_join._finish(75)(table).to_pylist()
+        links = {(a, b) for a, b in combinations(range(len(sets)), 2) if 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))}
+        found = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got}
+        assert found <= links and all(r["same"] == len(set(sets[r["a"]]) & set(sets[r["b"]])) for r in got)
+        assert {x for x in links if wide[x[0]] or wide[x[1]]} <= found
+
+        def groups(pairs):
+            part = list(range(len(sets)))  # noqa: B023
+            for a, b in pairs:
+                old, new = part[a], part[b]
+                part = [new if p == old else p for p in part]
+            return {frozenset(i for i, p in enumerate(part) if p == q) for q in part}
+
+        assert groups(found) == groups(links)
+
+
 def removed(rows, length=200):
     count = Counter()
     texts = [(t or "").encode() for _, t, *_ in rows]
