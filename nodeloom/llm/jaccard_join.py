@@ -9,8 +9,7 @@ Jaccard distance is a metric, so a link of distance at most ``d`` obeys the tria
 3. recurs: within a region new pivots are chosen among documents not linked to its pivot; each document goes to the Voronoi cell of its
    nearest pivot and, where ``d(x, q) <= d(x, own) + 2 d``, as a boundary replica to other cells. In a cell only documents in
    the window ``|r(x) - r(y)| <= d`` stay. A cell closes when its documents are of one component, and one that fits a task is
-   finished there by the same recursion, where cells that would overlap by more than half stay together until the next
-   pivots. A pivot has met its whole region and leaves it, so the recursion ends, and no linked pair is lost.
+   finished there by the same recursion, where a set stays together until its cells have at most half as many pairs. A pivot has met its whole region and leaves it, so the recursion ends, and no linked pair is lost.
 
 Exactness is up to collisions of 64-bit shingle hashes and 128-bit set fingerprints.
 """
@@ -254,7 +253,7 @@ def _finish(percent: int):
                 if not len(among):
                     break
                 inside = far <= far.min(axis=0) + 2 * limit
-                if inside.sum() <= 1.5 * len(among):
+                if (inside.sum(axis=1) ** 2).sum() <= len(among) ** 2 / 2:  # pairs halve at least, so replicas can't add up
                     cells += [among[own] for own in inside if own.sum() > 1]
                     break
         columns = list(zip(*out)) if out else [[]] * 5
