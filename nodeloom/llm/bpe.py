@@ -42,6 +42,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def mark_apart(word: str) -> bool:
+    """Whether a word ends in a mark that is a piece of its own: what normalising leaves before it is a letter."""
+    if word[-1:] not in _MARKS:
+        return False
+    before = word[-2:-1]
+    return before.isalpha() if before.isascii() else unicodedata.normalize("NFC", word[:-1]).lower()[-1:].isalpha()
+
+
 class WordBpe:
     """A byte-level BPE vocabulary with word ends, as a tokenizer file has it."""
 
@@ -210,7 +218,7 @@ class WordBpe:
     def _made(self, word: str) -> tuple[int, str, bytes]:
         if any(s in word for s in self.special):
             return self._entry(self.whole(word))
-        if word[-1:] in _MARKS and word[-2:-1].isalpha() and (word.isascii() or word.isprintable()):
+        if mark_apart(word) and (word.isascii() or word.isprintable()):
             n, ids, decoded = self.known.get(word[:-1]) or self._new(word[:-1])
             if n:
                 more, mark, mark_decoded = self.known.get(word[-1]) or self._new(word[-1])

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from nodeloom.llm import arrow_words as A
-from nodeloom.llm.bpe import UNUSUAL, WordBpe, byte_letters
+from nodeloom.llm.bpe import UNUSUAL, WordBpe, byte_letters, mark_apart
 from nodeloom.llm.workers import held
 
 #: Words of one generation that a worker keeps, of two.
@@ -138,7 +138,7 @@ class WordEncoder(Encoder):
         if self.doubtful(word):
             return self.whole(word)
         low = word.replace("Σ", "σ").lower()
-        if low[-1] in ".,!?;:" and len(low) > 1 and low[-2].isalpha():
+        if mark_apart(word):
             return self.words[word[:-1]] + self.words[word[-1]]
         if low.isalpha() and (low.isascii() or unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)):
             return _packed(self._word(low.encode()))

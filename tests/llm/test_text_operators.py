@@ -260,7 +260,8 @@ def test_ids_of_odd_letters_and_white_space(kind, name):
     rnd = random.Random(6)
     points = [0x558, 0x58B, 0x88F, 0xC5C, 0x1C89, 0x208F, 0xA7CB, 0x130, 0x3A3, 0x1E9E, *rnd.sample([c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000], 8000)]
     parts = ["a", "B", "\xdc", "e\u0301", "1", ".", "'s", " ", " ", "\n", "\xa0", "\t", "  ", "\x1c", "\r\n", "\x85", "\u3000", "<|endoftext|>", "<|EndOfText|>"]
-    texts = [f"a{chr(c)}b A{chr(c)} {chr(c)}1" for c in points] + ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(8000)]
+    points += [0x958, 0x95F, 0xFB1D, 0x1FBE, 0x149]  # letters that normalising or lower case parts
+    texts = [f"a{chr(c)}b A{chr(c)} {chr(c)}1 x{chr(c)}. {chr(c)}!" for c in points] + ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(8000)]
     t = Tokenizer.from_file(P.path(name))
     want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
     assert kind(P.path(name)).encode(texts) == want
