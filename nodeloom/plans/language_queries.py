@@ -6,6 +6,7 @@ queries run over one document a nation, in which nodes of every kind stand.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -690,7 +691,7 @@ SELECTORS = {
     "mdx_jsx_flow_element": (MDX, ".mdx_jsx_flow_element | to_text", "'inner ' || n"),
     "mdx_text_expression": (MDX, ".mdx_text_expression.value", "'expr' || n"),
     "mdx_jsx_text_element": (MDX, ".mdx_jsx_text_element.name", "'Inline' || n"),
-    "update_url": (GALLERY, '.image | .image.url |= "u§" | .image.url', "'u' || n"),
+    "update_url": (GALLERY, '.image | .image.url |= "u" | .image.url', "'u'"),
     "descendant": (GALLERY, ".callout .text | map(to_text) | first", "'body ' || n"),
     "recursive": (GALLERY, "nodes | .. | filter(fn(n): n.strong;) | len", "1"),
 }
@@ -708,13 +709,11 @@ def _over_nations(document: str, text: str) -> Callable[[SparkSession, str], Dat
     def query(spark, sf_dir):
         n = F.col("n_nationkey").cast("string")
         docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.replace(F.lit(document), F.lit("§"), n).alias("text"))
-        if "§" in text:  # an argument that names the document: one query for each of the few
-            out = None
-            for key in sorted(r.doc_id for r in docs.select("doc_id").collect()):
-                one = run.run(docs.where(F.col("doc_id") == key), text.replace("§", str(key)), mdx=document is MDX)
-                out = one if out is None else out.unionByName(one)
-            return out
-        return run.run(docs, text, mdx=document is MDX)
+        wanted = text
+        if "§" in text:  # an argument that names the document: those of all nations, of which each document has its own
+            keys = sorted(r.doc_id for r in docs.select("doc_id").collect())
+            wanted = re.sub(r'"([^"]*)§"', lambda m: ", ".join(f'"{m.group(1)}{k}"' for k in keys), text)
+        return run.run(docs, wanted, mdx=document is MDX)
 
     return query
 
