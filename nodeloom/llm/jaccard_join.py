@@ -6,10 +6,12 @@ Jaccard distance is a metric, so a link of distance at most ``d`` obeys the tria
    shared shingles are too few for any link;
 2. makes regions: documents which share one of their rarest shared shingles (a prefix that every linked pair meets in) get
    that shingle's pivot, and their exact distances to it are computed;
-3. recurs: within a region new pivots are chosen among documents not linked to its pivot; each document goes to the Voronoi cell of its
-   nearest pivot and, where ``d(x, q) <= d(x, own) + 2 d``, as a boundary replica to other cells. In a cell only documents in
-   the window ``|r(x) - r(y)| <= d`` stay. A cell closes when its documents are of one component, and one that fits a task is
-   finished there by the same recursion, where a set stays together until its cells have at most half as many pairs. A pivot has met its whole region and leaves it, so the recursion ends, and no linked pair is lost.
+3. recurs: within a region new pivots are chosen among documents not linked to its pivot, MORE times as many in each round; each
+   document goes to the Voronoi cell of its nearest pivot and, where ``d(x, q) <= d(x, own) + 2 d``, as a boundary replica to other
+   cells; a region stays together until its cells have at most half as many pairs. In a cell only documents in the window
+   ``|r(x) - r(y)| <= d`` stay, and of these, those whose shared shingles are enough for a link with any size that is there. A cell
+   closes when its documents are of one component, and one that fits a task is finished there by the same recursion. A pivot has met
+   its whole region and leaves it, so the recursion ends, and no linked pair is lost.
 
 Exactness is up to collisions of 64-bit shingle hashes and 128-bit set fingerprints.
 """
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,8 +34,10 @@ from nodeloom.llm.workers import free, trim
 
 #: Shingles that a bucket of the count holds on average, and that a map task holds before it sends them.
 BUCKET = FLUSH = 1 << 21
-#: Pivots of a region in each round of the recursion; shingles of a region that one task finishes, and these by documents.
+#: Pivots of a region in the first round of the recursion; shingles of a region that one task finishes, and these by documents.
 PIVOTS, SMALL, SMALL_WORK = 8, 1 << 20, 1 << 30
+#: How many times as many pivots each next round has, while they have at most SMALL shingles; pivots that have cells; shingles that meet the pivots in one task.
+MORE, CELLS, CHUNK = 8, 64, 1 << 18
 
 
 def _sets(batches, k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -202,10 +207,13 @@ class _Metric:
 
 
 def _open(cells: DataFrame, limit: float) -> DataFrame:
-    """Of (region, node, part, n, wide, r): what is still to be joined; of regions of the same documents, one.
+    """Of (region, node, part, n, most, wide, r): what is still to be joined; of regions of the same documents, one.
 
-    part is the component known so far. A region closes when it has one part and no wide node.
+    part is the component known so far; most is the largest set that the node's shared shingles are enough for. A region closes when
+    it has one part and no wide node.
     """
+    fits = cells.groupBy("region").agg(F.min("n").alias("least"), F.max("most").alias("largest"))
+    cells = cells.join(fits, "region").where("most >= least and n <= largest").drop("least", "largest")
     sizes = cells.groupBy("region", "part").agg(F.count("*").alias("size"))
     main = sizes.groupBy("region").agg(F.max(F.struct("size", "part")).getField("part").alias("main"))
     cells = cells.join(main, "region").withColumn("free", F.expr("wide or part <> main")).drop("main")
@@ -262,16 +270,88 @@ def _finish(percent: int):
     return run
 
 
+def _same(keys: np.ndarray, owner: np.ndarray, n: int, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of ``n`` sets, a row each, with each of the others; ``keys`` are in order of their owners."""
+    out = np.zeros((n, len(others)), np.int32)
+    step = max(1, min(32, (1 << 18) // max((len(o) for o in others), default=1)))
+    for at in range(0, len(others), step):
+        some = others[at : at + step]
+        every, place = np.unique(np.concatenate(some), return_inverse=True)
+        there = np.zeros((len(every), len(some)), np.uint8)
+        there[place, np.repeat(np.arange(len(some)), [len(o) for o in some])] = 1
+        found = np.minimum(np.searchsorted(every, keys), len(every) - 1)
+        hit = every[found] == keys
+        found, rows = found[hit], owner[hit]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        if len(first):
+            out[rows[first], at : at + step] = np.add.reduceat(there[found], first, axis=0, dtype=np.int32)
+    return out
+
+
+_MET = "region string, node long, n long, wide boolean, most long, rank int, far array<double>, links array<struct<pivot: long, n: long, same: long>>"
+
+
+def _meet(percent: int):
+    """Some nodes of a region with their distances to its first CELLS pivots, and which of all its pivots they link to."""
+    link = pa.struct([("pivot", pa.int64()), ("n", pa.int64()), ("same", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, pivots = table.filter(pc.invert(table["is_pivot"])), table.filter(table["is_pivot"]).sort_by("rank")
+        core = lambda t: [np.frombuffer(c, np.uint64) for c in t["core"].to_pylist()]
+        cores, n, size = core(nodes), nodes["n"].to_numpy(), pivots["n"].to_numpy()
+        node, pivot = nodes["node"].to_numpy(), pivots["node"].to_numpy()
+        keys = np.concatenate(cores) if cores else np.zeros(0, np.uint64)
+        same = _same(keys, np.repeat(np.arange(len(cores)), [len(c) for c in cores]), len(cores), core(pivots))
+        union = n[:, None] + size - same
+        # Two pivots meet twice and count once.
+        linked = (100 * same.astype(np.int64) >= percent * union) & ~(np.isin(node, pivot)[:, None] & (node[:, None] <= pivot))
+        who, which = np.nonzero(linked)
+        links = pa.StructArray.from_arrays([pa.array(pivot[which]), pa.array(size[which]), pa.array(same[linked].astype(np.int64))], fields=list(link))
+        links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(linked.sum(axis=1))]), pa.int32()), links)
+        far = (1 - same[:, :CELLS] / union[:, :CELLS]).astype(float)
+        far = pa.ListArray.from_arrays(pa.array(np.arange(len(cores) + 1) * far.shape[1], pa.int32()), pa.array(far.ravel()))
+        out = nodes.select(["region", "node", "n", "wide", "most", "rank"])
+        return out.append_column("far", pa.chunked_array([far])).append_column("links", pa.chunked_array([links]))
+
+    return run
+
+
+def _met(cells: DataFrame, nodes: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """Of each region its nodes after they have met its pivots, which have a rank."""
+    order = W.partitionBy("region").orderBy(F.xxhash64("node"), "node")
+    free = cells.where("free").withColumns({"rank": F.row_number().over(order), "weight": F.sum("n").over(order)})
+    chosen = free.where(f"rank <= {PIVOTS} or rank <= {pivots} and weight <= {SMALL}").select("region", "node", "n", "rank")
+    chunks = cells.groupBy("region").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
+    cores = nodes.select("node", "core")
+    own = cells.select("region", "node", "n", "wide", "most").join(chosen.select("region", "node", "rank"), ["region", "node"], "left")
+    own = own.join(chunks, "region").withColumns({"chunk": F.pmod(F.xxhash64("node"), "chunks").cast("int"), "is_pivot": F.lit(False)})
+    to = chosen.join(chunks, "region").join(cores, "node").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "is_pivot": F.lit(True)})
+    both = own.join(cores, "node").drop("chunks").unionByName(to.drop("chunks"), allowMissingColumns=True)
+    return both.groupBy("region", "chunk").applyInArrow(_meet(percent), _MET)
+
+
+def _split(met: DataFrame, limit: float) -> DataFrame:
+    """Voronoi cells with boundary replicas of regions that they take apart; the other regions whole, without their pivots."""
+    near = met.where("rank is null").select("region", "node", "n", "wide", "most", (F.array_min("far") + 2 * limit).alias("edge"), F.posexplode("far").alias("cell", "r"))
+    sizes = near.groupBy("region", "cell").agg(F.count("*").alias("size"), F.count_if(F.expr("r <= edge")).alias("inside"))
+    # Pairs halve at least and rows double at most, so that replicas can't add up.
+    apart = sizes.groupBy("region").agg(F.expr("2 * sum(inside * inside) <= max(size) * max(size) and sum(inside) <= 2 * max(size)").alias("apart"))
+    near = near.join(apart, "region").where("if(apart, r <= edge, cell = 0)")
+    return near.select(F.expr("if(apart, concat_ws('/', region, cell), region)").alias("region"), "node", "n", "wide", "most", "r")
+
+
 def _join(nodes: DataFrame, percent: int) -> _Metric:
     """Overlaps of a set of pairs whose links join whatever all links join; with ``wide`` nodes, all their links."""
     limit = 1 - percent / 100 + 1e-9
     metric = _Metric(nodes.select("node", "n", "core"), percent)
-    places = nodes.select("node", "n", "wide", F.explode("prefix").alias("key"))
+    most = F.expr(f"size * (100 + {percent}) div {percent} - n").alias("most")
+    places = nodes.select("node", "n", "wide", most, F.explode("prefix").alias("key"))
     pivots = places.groupBy("key").agg(F.min("node").alias("region"), F.count("*").alias("size")).where("size > 1").drop("size")
-    cells = save(places.join(pivots, "key").select("region", "node", "n", "wide").distinct(), "regions")
+    cells = save(places.join(pivots, "key").select("region", "node", "n", "wide", "most").distinct(), "regions")
     metric.ask(cells.select(F.col("region").alias("a"), F.col("node").alias("b")))
     cells = metric.distances(cells, "region").where("node <> region")
     cells = cells.withColumns({"part": F.when(F.col("r") <= limit, F.col("region")).otherwise(F.col("node")), "region": F.col("region").cast("string")})
+    each = PIVOTS
     while True:
         cells = save(_open(cells, limit), "regions")
         sizes = cells.agg(F.count_if("small"), F.count_if(~F.col("small"))).first()
@@ -281,14 +361,10 @@ def _join(nodes: DataFrame, percent: int) -> _Metric:
         if not sizes[1]:
             return metric
         cells = cells.where("not small").drop("small")
-        rank = F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("node"), "node"))
-        chosen = cells.where("free").withColumn("rank", rank).where(f"rank <= {PIVOTS}").select("region", F.col("node").alias("pivot"))
-        to = save(cells.select("region", "node", "n", "wide").join(chosen, "region"), "regions")
-        metric.ask(to.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        to = metric.distances(to, "pivot")
-        own = to.groupBy("region", "node").agg(F.min("r").alias("own"))
-        to = to.join(own, ["region", "node"]).join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-        cells = to.where(f"r <= own + {2 * limit}").select(F.concat_ws("/", "region", "pivot").alias("region"), "node", "n", "wide", "r")
+        met = save(_met(cells, nodes, each, percent), "met")
+        each *= MORE
+        metric.add(met.select("node", "n", F.explode("links").alias("x")).select(F.col("x.pivot").alias("a"), F.col("node").alias("b"), F.col("x.n").alias("n_a"), F.col("n").alias("n_b"), F.col("x.same").alias("same")))
+        cells = _split(met, limit)
         parts = components(metric.linked()).select("node", F.col("component").alias("part"))
         cells = cells.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
 

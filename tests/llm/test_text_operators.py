@@ -93,6 +93,38 @@ def test_jaccard_recursion(spark, monkeypatch):
     assert got == components(rows)
 
 
+def test_large_groups_of_near_copies_take_few_rounds(spark, monkeypatch):
+    """A region that no task finishes closes after rounds of 8, 64 and 512 pivots, not after one round for every 8 of its sets."""
+    monkeypatch.setattr(jaccard_join, "SMALL_WORK", 0)
+    rounds, opened = [], jaccard_join._open
+    monkeypatch.setattr(jaccard_join, "_open", lambda *a: rounds.append(1) or opened(*a))
+    rnd = random.Random(17)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(160):
+        words = base[: rnd.randint(40, 60)]
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(len(words))] = f"v{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(base[:12] + [f"z{i}"] * (i % 3))) for i in range(40)]
+    got = Counter(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == components(rows)
+    assert 2 <= len(rounds) <= 4
+
+
+def test_nodes_meet_pivots_as_sets_do():
+    rnd = np.random.default_rng(9)
+    sets = [np.unique(rnd.integers(0, 300, rnd.integers(1, 120))).astype(np.uint64) for _ in range(70)]
+    keys, owner = np.concatenate(sets[:30]), np.repeat(np.arange(30), [len(s) for s in sets[:30]])
+    want = [[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets[:30]]
+    assert jaccard_join._same(keys, owner, 30, sets[20:]).tolist() == want
+    table = pa.table({"region": ["r"] * 70, "node": list(range(70)), "n": [len(s) for s in sets], "wide": [False] * 70, "most": [9] * 70, "rank": pa.array([None] * 30 + list(range(40)), pa.int32()), "core": [s.tobytes() for s in sets], "is_pivot": [False] * 30 + [True] * 40})
+    got = jaccard_join._meet(40)(table).to_pylist()
+    same = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    assert {(r["node"], x["pivot"], x["same"]) for r in got for x in r["links"]} == {(a, b, same(a, b)) for a in range(30) for b in range(30, 70) if 100 * same(a, b) >= 40 * len(np.union1d(sets[a], sets[b]))}
+    assert all(abs(r["far"][i] - 1 + same(r["node"], 30 + i) / len(np.union1d(sets[r["node"]], sets[30 + i]))) < 1e-12 for r in got for i in range(40))
+    assert jaccard_join._meet(40)(table.slice(30)).num_rows == 0
+
+
 def test_cells_within_a_task_lose_no_link():
     """Clusters of sets around a common core: regions split into cells, and what the links join stays joined."""
     rnd = random.Random(31)
