@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from nodeloom.llm import arrow_words as A
-from nodeloom.llm.bpe import UNUSUAL, WordBpe, byte_letters, mark_apart
+from nodeloom.llm.bpe import _MARKS, UNUSUAL, WordBpe, byte_letters, mark_apart
 from nodeloom.llm.workers import held
 
 #: Words of one generation that a worker keeps, of two.
@@ -131,10 +131,17 @@ class WordEncoder(Encoder):
                 ranks[b"".join([self.plain[b] for b in stem[:-1]]) + (self.final if last else self.plain)[stem[-1]]] = i
         self.merge = _merger(ranks)
         self.words = _Words(self._new)
+        # No special entry can be within letters that at most one mark follows.
+        self.simple = all(len(s) > 1 and not s[:-1].isalpha() for s in self.special)
 
     def _new(self, word: str) -> bytes:
         if not word:
             return b""
+        if self.simple and word.isascii():  # most words; the same as below, in fewer steps
+            if word.isalpha():
+                return _packed(self._word(word.lower().encode()))
+            if word[-1] in _MARKS and word[:-1].isalpha():
+                return self.words[word[:-1]] + self.words[word[-1]]
         if self.doubtful(word):
             return self.whole(word)
         low = word.replace("Σ", "σ").lower()
@@ -145,8 +152,10 @@ class WordEncoder(Encoder):
         return _packed(self.bpe.plain(word, self._word))
 
     def _word(self, data: bytes) -> list[int]:
-        plain = self.plain
-        return self.merge(b"".join([plain[b] for b in data[:-1]]) + self.final[data[-1]])
+        pairs = bytearray(b"\xfe" * (2 * len(data)))
+        pairs[1::2] = data
+        pairs[-2] = 0xFF
+        return self.merge(bytes(pairs))
 
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self.words.turn()

@@ -339,6 +339,17 @@ def test_code_lengths_and_codes():
         assert (code.decode(*code.encode(ids), len(ids)) == ids).all()
 
 
+def test_short_way_of_plain_words_gives_the_same_ids():
+    quick, slow = (WordEncoder(P.path("word_bpe_49k.json")) for _ in range(2))
+    assert quick.simple
+    slow.simple = False
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdEFxyz") for _ in range(rnd.randint(1, 12))) + rnd.choice(["", "", ".", ",", "!", "?", ";", ":", "..", "'s", "<|endoftext|>", "é"]) for _ in range(2000)]
+    texts = [" ".join(words[i : i + 20]) for i in range(0, 2000, 20)] + [". a .", "", ":"]
+    got = quick.encode(texts)
+    assert got == slow.encode(texts) == [slow.whole(t) for t in texts]
+
+
 def test_token_files(docs, rows):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     got = sorted(map(tuple, token_files.round_trip(docs, P.path("word_bpe_49k.json")).collect()), key=lambda r: r[1])
