@@ -228,6 +228,27 @@ def test_stages_take_odd_rows(spark, sf):
     assert len({r.doc_id for r in packed}) == 8 and sum(r.piece == 0 for r in packed) == len(rows)
 
 
+def test_stage_of_near_copies_takes_few_rounds(spark, sf, monkeypatch):
+    """One group of near copies too large for a task: one document of each component stays, after rounds of growing numbers of pivots."""
+    import corpus_pipeline as C
+    from nodeloom.llm import jaccard_join
+
+    rounds, opened = [], jaccard_join._open
+    monkeypatch.setattr(jaccard_join, "SMALL_WORK", 0)
+    monkeypatch.setattr(jaccard_join, "_open", lambda *a: rounds.append(1) or opened(*a))
+    # Each text overlaps the next ones; some of them link.
+    texts = [" ".join(f"w{j}" for j in range(i, i + 30 + i % 7)) for i in range(0, 240, 3) for _ in range(2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    part = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and part[a] != part[b]:
+            low, high = sorted((part[a], part[b]))
+            part = [low if p == high else p for p in part]
+    assert sorted(r.doc_id for r in C.near_copies(spark, docs, sf).collect()) == sorted(set(part))
+    assert len(rounds) <= 4
+
+
 def test_html_names_of_containers_do_not_outweigh_their_text(spark):
     """Noisy names on true containers and bodies, adverts inside plain ones, unclosed elements, formulas, very long and nested pages."""
     model = html_extract.trained()
