@@ -36,8 +36,9 @@ from nodeloom.llm.workers import free, trim
 BUCKET = FLUSH = 1 << 21
 #: Pivots of a region in the first round of the recursion; shingles of a region that one task finishes, and these by documents.
 PIVOTS, SMALL, SMALL_WORK = 8, 1 << 20, 1 << 30
-#: How many times as many pivots each next round has, while they have at most SMALL shingles; pivots that have cells; shingles that meet the pivots in one task.
-MORE, CELLS, CHUNK = 8, 64, 1 << 18
+#: How many times as many pivots each next round has, while they have at most FULL shingles: sets that link to nothing leave a region as pivots only, so the rounds are
+#: counted by them. Pivots that have cells; shingles that meet the pivots in one task, and pivots that it holds distances to at once.
+MORE, FULL, CELLS, CHUNK, BLOCK = 64, 1 << 22, 64, 1 << 18, 512
 
 
 def _sets(batches, k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -298,17 +299,26 @@ def _meet(percent: int):
     def run(table: pa.Table) -> pa.Table:
         nodes, pivots = table.filter(pc.invert(table["is_pivot"])), table.filter(table["is_pivot"]).sort_by("rank")
         core = lambda t: [np.frombuffer(c, np.uint64) for c in t["core"].to_pylist()]
-        cores, n, size = core(nodes), nodes["n"].to_numpy(), pivots["n"].to_numpy()
+        cores, others, n, size = core(nodes), core(pivots), nodes["n"].to_numpy(), pivots["n"].to_numpy()
         node, pivot = nodes["node"].to_numpy(), pivots["node"].to_numpy()
         keys = np.concatenate(cores) if cores else np.zeros(0, np.uint64)
-        same = _same(keys, np.repeat(np.arange(len(cores)), [len(c) for c in cores]), len(cores), core(pivots))
-        union = n[:, None] + size - same
-        # Two pivots meet twice and count once.
-        linked = (100 * same.astype(np.int64) >= percent * union) & ~(np.isin(node, pivot)[:, None] & (node[:, None] <= pivot))
-        who, which = np.nonzero(linked)
-        links = pa.StructArray.from_arrays([pa.array(pivot[which]), pa.array(size[which]), pa.array(same[linked].astype(np.int64))], fields=list(link))
-        links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(linked.sum(axis=1))]), pa.int32()), links)
-        far = (1 - same[:, :CELLS] / union[:, :CELLS]).astype(float)
+        owner, again = np.repeat(np.arange(len(cores)), [len(c) for c in cores]), np.isin(node, pivot)
+        met = []
+        for at in range(0, len(pivot), BLOCK):
+            some = slice(at, at + BLOCK)
+            same = _same(keys, owner, len(cores), others[some])
+            union = n[:, None] + size[some] - same
+            if not at:
+                far = (1 - same[:, :CELLS] / union[:, :CELLS]).astype(float)
+            # Two pivots meet twice and count once.
+            linked = (100 * same.astype(np.int64) >= percent * union) & ~(again[:, None] & (node[:, None] <= pivot[some]))
+            who, which = np.nonzero(linked)
+            met.append((who, which + at, same[who, which]))
+        who, which, same = (np.concatenate(x) for x in zip(*met))
+        order = np.argsort(who, kind="stable")
+        which, same, ends = which[order], same[order].astype(np.int64), np.cumsum(np.bincount(who, minlength=len(cores)))
+        links = pa.StructArray.from_arrays([pa.array(pivot[which]), pa.array(size[which]), pa.array(same)], fields=list(link))
+        links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), links)
         far = pa.ListArray.from_arrays(pa.array(np.arange(len(cores) + 1) * far.shape[1], pa.int32()), pa.array(far.ravel()))
         out = nodes.select(["region", "node", "n", "wide", "most", "rank"])
         return out.append_column("far", pa.chunked_array([far])).append_column("links", pa.chunked_array([links]))
@@ -320,7 +330,7 @@ def _met(cells: DataFrame, nodes: DataFrame, pivots: int, percent: int) -> DataF
     """Of each region its nodes after they have met its pivots, which have a rank."""
     order = W.partitionBy("region").orderBy(F.xxhash64("node"), "node")
     free = cells.where("free").withColumns({"rank": F.row_number().over(order), "weight": F.sum("n").over(order)})
-    chosen = free.where(f"rank <= {PIVOTS} or rank <= {pivots} and weight <= {SMALL}").select("region", "node", "n", "rank")
+    chosen = free.where(f"rank <= {PIVOTS} or rank <= {pivots} and weight <= {FULL}").select("region", "node", "n", "rank")
     chunks = cells.groupBy("region").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
     cores = nodes.select("node", "core")
     own = cells.select("region", "node", "n", "wide", "most").join(chosen.select("region", "node", "rank"), ["region", "node"], "left")

@@ -111,6 +111,33 @@ def test_large_groups_of_near_copies_take_few_rounds(spark, monkeypatch):
     assert 2 <= len(rounds) <= 4
 
 
+def test_groups_of_sets_that_link_to_nothing_take_two_rounds(spark, monkeypatch):
+    """Near copies of one text too far from each other for a link leave their region only as pivots: 8 in the first round, the others in the second."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64, raising=False)
+    rounds, opened = [], jaccard_join._open
+
+    def counted(*a):
+        rounds.append(1)
+        assert len(rounds) <= 3
+        return opened(*a)
+
+    monkeypatch.setattr(jaccard_join, "_open", counted)
+    rnd = random.Random(23)
+    base, rows = [f"w{i}" for i in range(80)], []
+    # Two copies of each change, so that the changed shingles are shared, too.
+    changes = [[(p, f"v{p}_{i % 3}") for p in rnd.sample(range(80), rnd.randint(1, 6))] for i in range(80)]
+    for i in range(320):
+        words = list(base)
+        for p, v in changes[i % 80] + changes[rnd.randrange(80)] * (i >= 80):
+            words[p] = v
+        rows.append((i, " ".join(words)))
+    got = Counter(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == components(rows)
+    assert len({c for _, _, c in got}) > 100
+    assert len(rounds) == 3
+
+
 def test_nodes_meet_pivots_as_sets_do():
     rnd = np.random.default_rng(9)
     sets = [np.unique(rnd.integers(0, 300, rnd.integers(1, 120))).astype(np.uint64) for _ in range(70)]
