@@ -187,19 +187,19 @@ def insert(s, place: int, new: str) -> Column:
     return F.concat(F.substring(col(s), 1, place), F.lit(new), F.substring(col(s), place + 1, 2**31 - 1))
 
 
-def human_bytes(n) -> Column:
-    """Sizes by thousands, with one digit after the point unless it is 0."""
-    return _ladder(n, 1000, ["B", "KB", "MB", "GB", "TB", "PB"])
+def human_bytes(n, largest: str = "PB") -> Column:
+    """Sizes by thousands, with one digit after the point unless it is 0; ``largest`` is the last unit that is taken."""
+    return _ladder(n, 1000, ["B", "KB", "MB", "GB", "TB", "PB"], largest)
 
 
-def human_size(n) -> Column:
+def human_size(n, largest: str = "PiB") -> Column:
     """Sizes by 1024."""
-    return _ladder(n, 1024, ["B", "KiB", "MiB", "GiB", "TiB", "PiB"])
+    return _ladder(n, 1024, ["B", "KiB", "MiB", "GiB", "TiB", "PiB"], largest)
 
 
-def _ladder(n, base: int, units: list[str]) -> Column:
+def _ladder(n, base: int, units: list[str], largest: str) -> Column:
     out: Column | None = None
-    for i, unit in reversed(list(enumerate(units))):
+    for i, unit in reversed(list(enumerate(units[: units.index(largest) + 1]))):
         shown = F.concat(F.regexp_replace(F.format_string("%.1f", F.round(col(n).cast("double") / F.lit(float(base**i)), 1)), r"\.0$", ""), F.lit(unit))
         out = shown if out is None else F.when(F.abs(col(n)) < base ** (i + 1), shown).otherwise(out)
     return out
