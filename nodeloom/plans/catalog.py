@@ -36,6 +36,8 @@ def _nodes(spark: SparkSession, sf_dir: str, fixture: str = "outline", **only: l
 
 
 _t = fixtures.table
+#: What operators on tables need of the parser: cells, without what is in them.
+_CELLS = {"kinds": ["table_cell"], "columns": ["pos", "parent", "kind", "row", "col", "text"]}
 
 
 # Selectors.
@@ -85,12 +87,12 @@ def sel_tasks(spark, sf_dir):
 
 @query("SELECT p_brand AS doc_id, 'Name' AS text FROM part GROUP BY 1")
 def sel_table_cell(spark, sf_dir):
-    return S.select(_nodes(spark, sf_dir, "parts_table"), ".[0][1]").select("doc_id", "text")
+    return S.select(_nodes(spark, sf_dir, "parts_table", **_CELLS), ".[0][1]").select("doc_id", "text")
 
 
 @query("SELECT p_brand AS doc_id, 'right,none,center' AS align FROM part GROUP BY 1")
 def sel_table_align(spark, sf_dir):
-    return S.select(_nodes(spark, sf_dir, "parts_table"), ".table_align").select("doc_id", F.array_join("align", ",").alias("align"))
+    return S.select(_nodes(spark, sf_dir, "parts_table", kinds=["table_align"], columns=["parent", "kind", "align"]), ".table_align").select("doc_id", F.array_join("align", ",").alias("align"))
 
 
 @query("SELECT o_custkey AS doc_id, 'order ' || min(o_orderkey) AS text FROM orders GROUP BY 1")
@@ -151,13 +153,13 @@ def toc(spark, sf_dir):
 
 @query("SELECT p_brand AS doc_id, CAST(p_partkey AS VARCHAR) AS key, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part")
 def table_records(spark, sf_dir):
-    r = O.table_records(_nodes(spark, sf_dir, "parts_table"))
+    r = O.table_records(_nodes(spark, sf_dir, "parts_table", **_CELLS))
     return r.select("doc_id", F.col("record")["Key"].alias("key"), F.col("record")["Name"].alias("name"), F.col("record")["Size"].alias("size"))
 
 
 @query("SELECT p_brand AS doc_id, p_name AS value FROM part")
 def table_column(spark, sf_dir):
-    return O.table_column(_nodes(spark, sf_dir, "parts_table"), "Name").select("doc_id", "value")
+    return O.table_column(_nodes(spark, sf_dir, "parts_table", **_CELLS), "Name").select("doc_id", "value")
 
 
 @query("SELECT n_regionkey AS doc_id, 3 AS depth, 'h3' AS name, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1 UNION ALL SELECT r_regionkey, 2, 'h2', 1 FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
@@ -192,19 +194,19 @@ def section_nodes(spark, sf_dir):
 
 @query("SELECT p_brand AS doc_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS INT) AS place, p_name AS name FROM part")
 def table_sort_rows(spark, sf_dir):
-    rows = O.sort_rows(_nodes(spark, sf_dir, "parts_table"), 1)
+    rows = O.sort_rows(_nodes(spark, sf_dir, "parts_table", **_CELLS), 1)
     return rows.select("doc_id", "place", F.col("cells")[1].alias("name"))
 
 
 @query("SELECT p_brand AS doc_id, p_size AS size, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1, 2")
 def table_filter_rows(spark, sf_dir):
-    rows = O.table_records(_nodes(spark, sf_dir, "parts_table")).select("doc_id", F.col("record")["Size"].cast("int").alias("size"))
+    rows = O.table_records(_nodes(spark, sf_dir, "parts_table", **_CELLS)).select("doc_id", F.col("record")["Size"].cast("int").alias("size"))
     return rows.where("size > 25").groupBy("doc_id", "size").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_brand AS doc_id, CAST(p_partkey AS VARCHAR) AS key, name, value FROM (SELECT p_brand, p_partkey, p_name AS \"Name\", CAST(p_size AS VARCHAR) AS \"Size\" FROM part) UNPIVOT (value FOR name IN (\"Name\", \"Size\"))")
 def table_pivot_longer(spark, sf_dir):
-    r = O.table_records(_nodes(spark, sf_dir, "parts_table"))
+    r = O.table_records(_nodes(spark, sf_dir, "parts_table", **_CELLS))
     wide = r.select("doc_id", F.col("record")["Key"].alias("key"), F.col("record")["Name"].alias("Name"), F.col("record")["Size"].alias("Size"))
     return R.pivot_longer(wide, ["doc_id", "key"], ["Name", "Size"])
 

@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 
 #: How deep nodes can lie in each other.
 NEST = 48
+#: So many nodes at the top, or a few more, are held at once by what reads a document bit by bit.
+HELD = 1024
 
 
 @dataclass
@@ -52,20 +55,39 @@ _JSX = re.compile(r"<([A-Z][\w.]*)((?:[^>\"'{}]|\"[^\"]*\"|'[^']*'|\{[^}]*\})*?)
 
 def parse(text: str, mdx: bool = False) -> list[Node]:
     """The top-level nodes of a document."""
+    out, lines, first = _front(text)
+    return out + _blocks(lines, mdx, 0, first=first)
+
+
+def stream(text: str, mdx: bool = False) -> Iterator[list[Node]]:
+    """The top-level nodes of a document a few at a time, without their lines: no table or list is held as a whole."""
+    out, lines, _ = _front(text)
+    for _ in _steps(lines, out, mdx, 0):
+        if len(out) >= HELD:
+            yield out[:]
+            out.clear()
+    yield out
+
+
+def _front(text: str) -> tuple[list[Node], list[str], int]:
+    """Front matter, the lines behind it and the number of the first of them."""
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    out: list[Node] = []
     for mark, kind in (("---", "yaml"), ("+++", "toml")):
         if lines[0].rstrip() == mark and (end := next((i for i in range(1, len(lines)) if lines[i].rstrip() == mark), 0)):
-            out.append(Node(kind, attributes={"value": "\n".join(lines[1:end])}))
-            out[0].lines = (1, end + 1)
-            lines = lines[end + 1 :]
-            return out + _blocks(lines, mdx, 0, first=end + 2)
-    return _blocks(lines, mdx, 0, first=1)
+            return [Node(kind, attributes={"value": "\n".join(lines[1:end])}, lines=(1, end + 1))], lines[end + 1 :], end + 2
+    return [], lines, 1
 
 
 def _blocks(lines: list[str], mdx: bool, nest: int, level: int = 0, first: int = 0) -> list[Node]:
     """The nodes of some lines; with ``first``, the number of the first of them, nodes know their lines."""
     out: list[Node] = []
+    for _ in _steps(lines, out, mdx, nest, level, first):
+        pass
+    return out
+
+
+def _steps(lines: list[str], out: list[Node], mdx: bool, nest: int, level: int = 0, first: int = 0) -> Iterator[None]:
+    """Adds the nodes of some lines to ``out``; at each step its reader may take away what is there, without ``first``."""
     held: list[str] = []
     deep = nest >= NEST
 
@@ -79,6 +101,7 @@ def _blocks(lines: list[str], mdx: bool, nest: int, level: int = 0, first: int =
 
     i = began = 0
     while i < len(lines):
+        yield
         for node in reversed(out if first else []):
             if node.lines:
                 break
@@ -131,7 +154,7 @@ def _blocks(lines: list[str], mdx: bool, nest: int, level: int = 0, first: int =
             i = end
         elif not deep and (m := _ITEM.match(line)) and not (held and (not m.group(4) or m.group(2)[0].isdigit() and m.group(2)[:-1] != "1")):
             paragraph()
-            i = _list(lines, i, out, mdx, level, nest, first)
+            i = yield from _list(lines, i, out, mdx, level, nest, first)
         elif not deep and (m := _FOOTNOTE.match(line)):
             paragraph()
             end = i + 1
@@ -175,14 +198,13 @@ def _blocks(lines: list[str], mdx: bool, nest: int, level: int = 0, first: int =
             out.append(Node("html", attributes={"value": "\n".join(lines[i:end])}))
             i = end
         elif not held and "|" in line and i + 1 < len(lines) and _DELIMITER.match(lines[i + 1]) and "-" in lines[i + 1] and len(_cells(line)) == len(_cells(lines[i + 1])):
-            i = _table(lines, i, out, mdx)
+            i = yield from _table(lines, i, out, mdx)
         else:
             held.append(line)
             i += 1
     paragraph()
     for node in out if first else []:
         node.lines = node.lines or (first + began, first + i - 1)
-    return out
 
 
 def _starts(line: str, mdx: bool) -> bool:
@@ -190,11 +212,12 @@ def _starts(line: str, mdx: bool) -> bool:
     return bool(_HEADING.match(line) or _FENCE.match(line) or _RULE.match(line) or _ITEM.match(line))
 
 
-def _list(lines: list[str], i: int, out: list[Node], mdx: bool, level: int, nest: int, first: int) -> int:
-    """Items of one list, and after each the items of the lists in it."""
+def _list(lines: list[str], i: int, out: list[Node], mdx: bool, level: int, nest: int, first: int) -> Generator[None, None, int]:
+    """Items of one list, and after each the items of the lists in it; returns the line behind it."""
     ordered, mark = None, ""
     index = 0
     while i < len(lines):
+        yield
         m = _ITEM.match(lines[i])
         if not m or _RULE.match(lines[i]):
             break
@@ -206,7 +229,7 @@ def _list(lines: list[str], i: int, out: list[Node], mdx: bool, level: int, nest
         start, body, i = i, [m.group(4) or ""], i + 1
         while i < len(lines):
             if not lines[i].strip():
-                ahead = next((x for x in lines[i + 1 :] if x.strip()), "")
+                ahead = next((lines[j] for j in range(i + 1, len(lines)) if lines[j].strip()), "")
                 if len(ahead) - len(ahead.lstrip()) < width:
                     break
                 body.append("")
@@ -241,18 +264,17 @@ def _cells(line: str) -> list[str]:
     return [c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)\|", line)]
 
 
-def _table(lines: list[str], i: int, out: list[Node], mdx: bool) -> int:
+def _table(lines: list[str], i: int, out: list[Node], mdx: bool) -> Generator[None, None, int]:
     head, marks = _cells(lines[i]), _cells(lines[i + 1])
     align = [{(True, True): "center", (True, False): "left", (False, True): "right"}.get((m.startswith(":"), m.endswith(":")), "none") for m in marks]
-    rows, end = [head], i + 2
+    out.extend(Node("table_cell", inline(c, mdx), {"row": 0, "col": k}) for k, c in enumerate(head))
+    out.append(Node("table_align", attributes={"align": align}))
+    end = i + 2
     while end < len(lines) and lines[end].strip() and not (_HEADING.match(lines[end]) or _FENCE.match(lines[end]) or _RULE.match(lines[end]) or re.match(r" {0,3}>", lines[end])):
+        yield
         cells = _cells(lines[end])
-        rows.append((cells + [""] * len(head))[: len(head)])
+        out.extend(Node("table_cell", inline(c, mdx), {"row": end - i - 1, "col": k}) for k, c in enumerate((cells + [""] * len(head))[: len(head)]))
         end += 1
-    for r, cells in enumerate(rows):
-        out.extend(Node("table_cell", inline(c, mdx), {"row": r, "col": k}) for k, c in enumerate(cells))
-        if not r:
-            out.append(Node("table_align", attributes={"align": align}))
     return end
 
 

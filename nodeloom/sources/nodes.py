@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -19,45 +20,61 @@ FIELDS = (
 )
 _KINDS = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 _COLUMNS = [(f.split()[0], _KINDS[f.split()[1]]) for f in FIELDS.split(", ")]
+#: So many rows leave the parser at once.
+ROWS = 8192
 _COPIED = ("depth", "level", "lang", "meta", "fence", "url", "alt", "title", "ident", "label", "callout", "ordered", "checked", "idx", "row", "col", "align")
 
 
-def rows_of(nodes: list[M.Node], markdown: bool = True) -> list[dict[str, Any]]:
-    out: list[dict[str, Any]] = []
-    tick = 0
+def rows_of(nodes: Iterable[M.Node], markdown: bool = True, kinds: frozenset[str] | None = None) -> Iterator[dict[str, Any]]:
+    """The rows of a document's nodes, those of ``kinds`` if given; what is in one top-level node is held at once."""
+    rows: list[dict[str, Any]] = []
+    pos = tick = 0
 
     def visit(node: M.Node, parent: int | None, top: int) -> None:
-        nonlocal tick
-        row: dict[str, Any] = {"pos": len(out), "parent": parent, "lft": tick, "top": top, "kind": node.kind, "name": M.name_of(node)}
+        nonlocal pos, tick
+        own, row = pos, None
+        if kinds is None or node.kind in kinds:
+            a = node.attributes
+            row = {"pos": own, "parent": parent, "lft": tick, "top": top, "kind": node.kind}
+            rows.append(row)
+            row |= {k: a.get(k) for k in _COPIED}
+            row["text"] = node.plain()
+            value = a.get("value")
+            row["value"] = value if value is not None else a.get("url") if node.kind in ("link", "image", "definition", "embed") else row["text"] if node.children else None
+            row["name"] = a.get("name") or M.name_of(node)
+            row["markdown"] = M.render(node) if markdown else None
+        pos += 1
         tick += 1
-        out.append(row)
-        row |= {k: node.attributes.get(k) for k in _COPIED}
-        row["text"] = node.plain()
-        value = node.attributes.get("value")
-        row["value"] = value if value is not None else node.attributes.get("url") if node.kind in ("link", "image", "definition", "embed") else row["text"] if node.children else None
-        row["name"] = node.attributes.get("name") or row["name"]
-        row["markdown"] = M.render(node) if markdown else None
         for child in node.children:
-            visit(child, row["pos"], top)
-        row["rgt"] = tick
+            visit(child, own, top)
+        if row is not None:
+            row["rgt"] = tick
         tick += 1
 
     for i, node in enumerate(nodes):
         visit(node, None, i)
-    return out
+        yield from rows
+        rows.clear()
 
 
 def _parsed(mdx: bool, kinds: frozenset[str] | None, columns: list[tuple[str, pa.DataType]]):
     def run(batches):
         markdown = any(n == "markdown" for n, _ in columns)
         for batch in batches:
-            ids, rows = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                some = rows_of(M.parse(text or "", mdx), markdown)
-                some = some if kinds is None else [r for r in some if r["kind"] in kinds]
-                ids += [doc] * len(some)
-                rows += some
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array([r[n] for r in rows], t) for n, t in columns)], ["doc_id", *(n for n, _ in columns)])
+            kept: dict[str, list] = {n: [] for n in ("doc_id", *(n for n, _ in columns))}
+            kinds_of = {"doc_id": batch.schema.field(0).type, **dict(columns)}
+            out = lambda: pa.RecordBatch.from_arrays([pa.array(v, kinds_of[n]) for n, v in kept.items()], list(kept))  # noqa: E731,B023
+            for i in range(batch.num_rows):
+                doc, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for row in rows_of((n for some in M.stream(text or "", mdx) for n in some), markdown, kinds):
+                    kept["doc_id"].append(doc)
+                    for n, _ in columns:
+                        kept[n].append(row[n])
+                    if len(kept["doc_id"]) >= ROWS:  # a document can have more rows than memory holds
+                        yield out()
+                        for v in kept.values():
+                            v.clear()
+            yield out()
 
     return run
 

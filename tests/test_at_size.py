@@ -1,9 +1,15 @@
 """What only larger tables show."""
 
+import tracemalloc
+
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nodeloom.functions import text as S
 from nodeloom.plans import expressions
+from nodeloom.sources import markdown_parser, nodes
 
 
 def _of_part(spark, name, key):
@@ -21,3 +27,33 @@ def test_sizes_stop_at_the_largest_unit_asked_for(spark):
     n = spark.range(1).select(F.lit(3 * 2**29).alias("n"))
     assert tuple(n.select(S.human_size("n"), S.human_size("n", "MiB")).first()) == ("1.5GiB", "1536MiB")
     assert _of_part(spark, "human_size", 2**20) == "1024MiB"
+
+
+def _peak_of_parsing(rows):
+    """MB that the parser takes for one table of so many rows, besides its text, and the rows that leave it."""
+    text = "| A | B | C |\n| --- | --- | --- |\n" + "\n".join(f"| {i} | *b* {i} | c |" for i in range(rows))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([7]), "text": pa.array([text])})
+    tracemalloc.start()
+    n = sum(x.num_rows for x in nodes._parsed(False, None, nodes._COLUMNS)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 2**20, n
+
+
+def test_a_table_is_not_held_as_nodes_and_rows():
+    small, n = _peak_of_parsing(1500)
+    large, m = _peak_of_parsing(6000)
+    assert (n, m) == (1500 * 8 + 7, 6000 * 8 + 7)
+    assert large - small < 6  # the lines grow with the document, nodes and rows don't
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab#*|-1. \n>[x]`:$", max_size=80))
+def test_bit_by_bit_as_at_once(text):
+    long = text + "\n\n- a\n- b\n  - c\n\n| a | b |\n| - | - |\n" + "| 1 | 2 |\n" * 5 + text
+    before, markdown_parser.HELD = markdown_parser.HELD, 2
+    try:
+        bit_by_bit = [n for some in markdown_parser.stream(long) for n in some]
+    finally:
+        markdown_parser.HELD = before
+    assert bit_by_bit == markdown_parser.parse(long)
