@@ -136,12 +136,13 @@ def _evaluated(query: str, mdx: bool, host: dict):
         from nodeloom.language.evaluate import Evaluator, compact, plain, show
         from nodeloom.sources import markdown_parser as M
 
-        steps = parse(query)
+        steps, first = parse(query), None
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    found = compact(Evaluator(**host).document(steps, M.parse(text or "", mdx)))
+                    first = first or Evaluator(**host)
+                    found = compact(first.again().document(steps, M.parse(text or "", mdx)))
                     rows += [(doc, i, show(v), json.dumps(plain(v), ensure_ascii=False), None) for i, v in enumerate(found)]
                 except Exception as error:  # one document's error is its own
                     rows.append((doc, None, None, None, str(error)))
@@ -180,16 +181,17 @@ def _of_rows(query: str, names: list[str], host: dict):
     def run(batches):
         from nodeloom.language.evaluate import Evaluator, Scope, plain
 
-        steps = parse(query)
+        steps, first = parse(query), Evaluator(**host)
+        as_json = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
         for batch in batches:
             values, errors = [], []
             for row in batch.to_pylist():
                 row = {k: v.timestamp() if isinstance(v, dt.datetime) else float(v) if isinstance(v, decimal.Decimal) else v for k, v in row.items()}
-                ev = Evaluator(**host)
+                ev = first.again()
                 ev.top.names |= row
                 try:
                     found = ev.over(steps, row, Scope(ev.top))
-                    values.append(json.dumps(plain(found), ensure_ascii=False, separators=(",", ":")))
+                    values.append(as_json(plain(found)))
                     errors.append(None)
                 except Exception as error:  # one row's error is its own
                     values.append(None)
@@ -199,13 +201,19 @@ def _of_rows(query: str, names: list[str], host: dict):
     return run
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly to a few tasks a core: a file of few row groups is read by as few tasks, however many cores there are."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+
+
 def over_rows(rows: DataFrame, query: str, **host) -> DataFrame:
-    """``rows`` with value, what the query gives for a row as JSON, and error.
+    """``rows`` with value, what the query gives for a row as JSON, and error; their order is open.
 
     A row is a map in the pipe, and its columns are variables of the query. Columns named value or error are replaced.
     """
     parse(query)
-    own = rows.drop("value", "error")
+    own = _spread(rows.drop("value", "error"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
     return own.mapInArrow(_of_rows(query, own.columns, host), ", ".join(x for x in (fields, "value string, error string") if x))
 
@@ -215,12 +223,13 @@ def _rewritten(query: str, mdx: bool, host: dict):
         from nodeloom.language.evaluate import Evaluator
         from nodeloom.sources import markdown_parser as M
 
-        steps = parse(query)
+        steps, first = parse(query), None
         for batch in batches:
             texts, errors = [], []
             for text in batch.column(1).to_pylist():
                 try:
-                    texts.append(M.document(Evaluator(**host).rewritten(steps, M.parse(text or "", mdx))))
+                    first = first or Evaluator(**host)
+                    texts.append(M.document(first.again().rewritten(steps, M.parse(text or "", mdx))))
                     errors.append(None)
                 except Exception as error:  # the document stays as it is
                     texts.append(text)

@@ -8,6 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nodeloom.functions import text as S
+from nodeloom.language import run
+from nodeloom.language.evaluate import Evaluator, Scope
+from nodeloom.language.grammar import parse
 from nodeloom.plans import expressions
 from nodeloom.sources import markdown_parser, nodes
 
@@ -57,3 +60,21 @@ def test_bit_by_bit_as_at_once(text):
     finally:
         markdown_parser.HELD = before
     assert bit_by_bit == markdown_parser.parse(long)
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(spark):
+    rows = spark.range(0, 1000, numPartitions=1)
+    got = run.over_rows(rows, "id * 2").select("id", "value", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r.id, r.value) for r in got) == [(i, str(2 * i)) for i in range(1000)]
+    each = [sum(r.part == p for r in got) for p in {r.part for r in got}]
+    assert len(each) >= 3 * spark.sparkContext.defaultParallelism and max(each) < 200
+
+
+def test_an_evaluator_begins_again_without_what_it_ran():
+    first = Evaluator(functions={"thrice": lambda x: 3 * x}, seconds=60)
+    ran = first.again()
+    ran.top.names["k"] = 5
+    assert ran.over(parse("def f(x): thrice(x) + k; | f(1)"), None, ran.top) == 8
+    later = first.again()
+    assert later.natives is first.natives and set(later.top.names) == {"NAN", "INFINITE"} and (later.steps, later.depth) == (0, 0)
+    assert later.over(parse("thrice(2)"), None, Scope(later.top)) == 6
